@@ -262,3 +262,29 @@ def works(spark: SparkSession, sf_dir: str) -> DataFrame:
         "filter(split(author_list, '[|]'), x -> x <> '') as authors",
         "filter(split(concept_list, '[|]'), x -> x <> '') as concepts",
     )
+
+
+# Experiment records as JSON text, one per order; lists mix objects and bare values.
+RECORDS = ("orders", {
+    ROW_KEY: _pad("o_orderkey", 12),
+    "record": "'{{'||case when o_orderkey%3=0 then '\"experiment_id\":\"RX-'||" + _pad("o_orderkey", 6) + "||'\",' else '' end"
+              "||'\"experiment\":{{'||case when o_orderkey%3=0 then '' else '\"experiment_id\":\"RX-'||" + _pad("o_orderkey", 6) + "||'\",' end"
+              "||'\"date\":\"'||{ODATE}||'\",\"process_type\":\"'||case when o_orderkey%5=0 then '' else 'emulsion polymerization' end||'\",\"status\":\"complete\"}},'"
+              "||'\"formulation'||case when o_orderkey%2=0 then 's' else '' end||'\":[{{\"reagent_id\":\"R-'||" + _pad("o_custkey+1900", 5)
+              + "||'\",\"target_role\":\"surfactant\",\"mass_g\":\"'||cast(o_orderkey%9 as {STR})||'\",\"reagent\":{{\"name\":\"'||case when o_orderkey%4=0 then '' else 'soap '||cast(o_orderkey%3 as {STR}) end"
+              "||'\",\"category\":\"surfactant\"}}}},{{\"reagent_id\":\"R-'||" + _pad("o_orderkey%3000", 5)
+              + "||'\",\"target_role\":\"buffer\",\"reagent_hazards\":\"'||case when o_orderkey%2=0 then 'base' else '' end||'\"}}],'"
+              "||'\"observations\":[{{\"stage\":\"feed\",\"timestamp\":\"'||case when o_orderkey%7=0 then '' else {ODATE}||'T10:00:00' end||'\",\"observation\":\"stable feed\"}},\"No visible coagulum '||cast(o_orderkey%6 as {STR})||'\"],'"
+              "||'\"results\":[{{\"type\":\"pH\",\"value\":\"'||cast(o_orderkey%14 as {STR})||'\"}},\"'||cast(o_custkey as {STR})||'\"]}}'",
+})
+
+
+def records_sql(engine: dict[str, str]) -> str:
+    source, exprs = RECORDS
+    return "select *, " + ", ".join(f"{e.format(**engine)} as {c}" for c, e in exprs.items()) + f" from {source}"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, exprs = RECORDS
+    return spark.read.parquet(f"{sf_dir}/{source}.parquet").selectExpr(
+        *[f"{e.format(**SPARK)} as {c}" for c, e in exprs.items()])

@@ -351,3 +351,168 @@ def evidence_select(t):
     linked = literature.linked_evidence(t)
     return literature.evidence_select(t, literature.build_queries(t, linked), linked, results.entry_signals(t)).select(
         "experiment_id", "rank", "evidence_id", "score")
+
+
+# -- materials ----------------------------------------------------------------
+from .adapters import records  # noqa: E402
+from .contract import TABLES  # noqa: E402
+from .operators import changes, daily, materials  # noqa: E402
+
+
+@register
+def material_candidates(t):
+    return materials.material_candidates(t, 5, include_optional=True).withColumns({
+        "match_reasons": F.array_join("match_reasons", ","), "missing_fields": F.array_join("missing_fields", ",")})
+
+
+@register
+def knowledge_matches(t):
+    return materials.knowledge_matches(t, 3)
+
+
+@register
+def material_search(t):
+    return materials.material_search(t, materials.material_candidates(t, 3))
+
+
+@register
+def material_scaffold(t):
+    return materials.material_scaffold(t)
+
+
+# -- day views ----------------------------------------------------------------
+
+@register
+def latest_observations(t):
+    return daily.latest_observations(t["daily_log"])
+
+
+@register
+def issue_tags(t):
+    return daily.issue_tags(t["daily_log"])
+
+
+@register
+def daily_windows(t):
+    return daily.daily_windows(t["daily_log"])
+
+
+@register
+def next_actions(t):
+    return daily.next_actions(t, select.select_experiments(t))
+
+
+@register
+def daily_summary(t):
+    a = daily.daily_summary(t, LOG_DATE)
+    return a.unionByName(daily.daily_summary(t, EXP_DATE))
+
+
+# -- writes -------------------------------------------------------------------
+
+@register
+def apply_cell_updates(t):
+    """Formulation updates written into the table, counted per field."""
+    up = formulation.formulation_updates(t)
+    new = changes.apply_updates(t["formulations"], up, ["experiment_id", "reagent_id", "target_role", "row_key"])
+    return new.select("experiment_id", "row_key", "reagent_id", "target_role", "mass_g", "volume_mL", "moles_mmol", "wt_percent")
+
+
+@register
+def projected_results(t):
+    """Results with the normalised log rows appended, counted per experiment and flag."""
+    return changes.append_rows(t["results"], log_results.daily_log_results(t), "results").groupBy(
+        "experiment_id", "measurement_type", "method").agg(F.count("*").alias("n"))
+
+
+@register
+def rerun_noop(t):
+    """A second run over its own output finds nothing to append."""
+    first = changes.append_rows(t["results"], log_results.daily_log_results(t), "results")
+    again = log_results.not_recorded(log_results.result_candidates(t["daily_log"]), first)
+    return again.agg(F.count("*").alias("second_run_rows"))
+
+
+@register
+def batch_signature(t):
+    return changes.batch_signature(formulation.formulation_updates(t).drop("row_key", "duplicate_cells"))
+
+
+def proposed_changes(t):
+    s, f, c = t["suggestions"], t["formulations"], t["config"]
+    appends = {
+        "experiments": s.select(F.col("proposed_experiment_id").alias("experiment_id")),
+        "formulations": f.where("feed_order in ('1','2')").select(
+            F.when(F.col("feed_order") == "1", F.concat("experiment_id", F.lit("-X"))).otherwise(F.col("experiment_id")).alias("experiment_id"),
+            "reagent_id", "target_role"),
+        "reviews": c.where("cast(row_key as bigint) % 30 = 0").select(
+            F.concat(F.lit("DRV-20240105-EP"), F.substring("row_key", 7, 6)).alias("review_id")),
+    }
+    updates = {
+        "suggestions": s.select(F.concat("suggestion_id", F.when(F.col("status") == "draft", "-Z").otherwise("")).alias("suggestion_id")),
+        "reagents": t["reagents"].select(F.concat(F.lit("R-"), F.lpad((F.substring("row_key", 3, 10).cast("bigint") + 1000).cast("string"), 5, "0")).alias("reagent_id")),
+    }
+    return appends, updates
+
+
+@register
+def apply_audit(t):
+    return changes.apply_audit(t, *proposed_changes(t))
+
+
+@register
+def fold_updates(t):
+    """Updates for rows that are themselves being appended, and the updates left over."""
+    up = formulation.formulation_updates(t)
+    keys = ["experiment_id", "reagent_id", "target_role"]
+    new = t["formulations"].where("feed_order = '3'")
+    folded, rest = changes.fold_updates(new, up, keys)
+    a = folded.groupBy(F.lit("appended").alias("part"), F.lit("").alias("field")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("mass_g") != "", 1)).alias("with_mass"))
+    b = rest.groupBy(F.lit("left over").alias("part"), "field").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("with_mass"))
+    return a.unionByName(b)
+
+
+@register
+def rows_not_present(t):
+    """Reagents of one notebook that another does not hold."""
+    other = t["formulations"].where("phase = 'aqueous'").select("reagent_id")
+    return changes.rows_not_present(t["reagents"], other, "reagent_id").select("reagent_id", "name")
+
+
+@register
+def linked_ids_update(t):
+    linked = literature.literature_findings(literature.linked_evidence(t), 3)
+    return changes.linked_ids_update(t["experiments"].select("experiment_id", "linked_literature_ids"), linked)
+
+
+@register_raw
+def record_ingest(spark, sf_dir):
+    rows = changes.record_rows(records(spark, sf_dir))
+    out = None
+    for name in ("experiments", "formulations", "daily_log", "results"):
+        shown = {
+            "experiments": ["date", "process_type", "status"], "formulations": ["reagent_id", "target_role", "mass_g"],
+            "daily_log": ["timestamp", "process_stage", "observation"], "results": ["sample_id", "measurement_type", "value", "quality_flag"],
+        }[name]
+        df = rows[name].select(F.lit(TABLES[name].title).alias("table_name"), "row_key", "experiment_id",
+                               F.concat_ws(" | ", *shown).alias("cells"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@register_raw
+def record_warnings(spark, sf_dir):
+    return changes.record_warnings(changes.record_rows(records(spark, sf_dir)))
+
+
+@register_raw
+def reagent_merge(spark, sf_dir):
+    return changes.reagent_merge(changes.record_rows(records(spark, sf_dir))["reagents"]).select(
+        "reagent_id", "name", "category", "hazards", "row_key")
+
+
+@register_raw
+def reagent_reconcile(spark, sf_dir):
+    merged = changes.reagent_merge(changes.record_rows(records(spark, sf_dir))["reagents"])
+    return changes.reagent_reconcile(merged, notebook(spark, sf_dir)["reagents"])

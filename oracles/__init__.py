@@ -1,7 +1,7 @@
 """DuckDB checks for the registered queries, written over the same notebook views."""
 
-from . import core, outcomes, retrieval
+from . import core, outcomes, retrieval, writes
 
 ORACLES: dict[str, str] = {}
-for module in (core, outcomes, retrieval):
+for module in (core, outcomes, retrieval, writes):
     ORACLES.update(module.QUERIES)
