@@ -476,7 +476,7 @@ def fold_updates(t):
 @register
 def rows_not_present(t):
     """Reagents of one notebook that another does not hold."""
-    other = t["formulations"].where("phase = 'aqueous'").select("reagent_id")
+    other = t["formulations"].where("feed_order = '3' and notes <> ''").select("reagent_id")
     return changes.rows_not_present(t["reagents"], other, "reagent_id").select("reagent_id", "name")
 
 
@@ -516,3 +516,148 @@ def reagent_merge(spark, sf_dir):
 def reagent_reconcile(spark, sf_dir):
     merged = changes.reagent_merge(changes.record_rows(records(spark, sf_dir))["reagents"])
     return changes.reagent_reconcile(merged, notebook(spark, sf_dir)["reagents"])
+
+
+# -- lifecycle ----------------------------------------------------------------
+from .operators import followup  # noqa: E402
+from .plans import agent, daily_run as day_plan, materialize, recommend  # noqa: E402
+
+NOW = "2026-06-10T08:00:00"
+
+
+def chosen_evidence(t):
+    linked = literature.linked_evidence(t)
+    return literature.evidence_select(t, literature.build_queries(t, linked), linked, results.entry_signals(t))
+
+
+def drafts(t):
+    context = recommend.literature_context(chosen_evidence(t), literature.tags_or_inferred())
+    return recommend.recommendations(t, results.experiment_signals(t), context, day_plan.entry_knowledge(t))
+
+
+@register
+def next_followup_id(t):
+    return followup.next_followup_ids(t)
+
+
+@register
+def followup_adjustments(t):
+    return followup.followup_adjustments(
+        t, results.experiment_signals(t), literature.literature_tag_counts(literature.linked_evidence(t)))
+
+
+@register
+def plan_rows(t):
+    signals = results.experiment_signals(t)
+    return followup.plan_formulations(t, signals, followup.followup_adjustments(t, signals))
+
+
+@register
+def plan_roundtrip(t):
+    p = materialize.accepted_plans({**t, "suggestions": t["suggestions"].withColumn("status", F.lit("accepted"))})
+    again = F.from_json(F.to_json("plan"), materialize.PLAN)
+    return p.select("suggestion_id", "has_plan", "planned_id", F.col("plan.objective").alias("objective"),
+                    F.array_join("plan.measurements", ",").alias("measurements"),
+                    (F.to_json(again) == F.to_json("plan")).alias("same"))
+
+
+@register
+def plan_materialize(t):
+    m = materialize.materialize(t, "2026-07-01")
+    shown = {
+        "experiments": ["date", "process_type", "objective", "linked_literature_ids", "status", "planned_next_step"],
+        "formulations": ["reagent_id", "target_role", "mass_g", "volume_mL", "moles_mmol", "wt_percent", "concentration", "notes"],
+        "results": ["sample_id", "measurement_type", "units", "condition", "quality_flag", "interpretation"],
+    }
+    out = None
+    for name, cols in shown.items():
+        df = m[name].select(F.lit(TABLES[name].title).alias("table_name"), "suggestion_id", "row_key", "experiment_id",
+                            F.concat_ws(" | ", *cols).alias("cells"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@register
+def plan_runs(t):
+    return materialize.materialize(t, "2026-07-01")["runs"]
+
+
+@register
+def config_parse(t):
+    return agent.parse_config(t)
+
+
+@register
+def recommendation(t):
+    return drafts(t)
+
+
+@register
+def agent_gates(t):
+    return agent.agent_gates(select.select_experiments(t), t, drafts(t), chosen_evidence(t), "medium", True)
+
+
+@register
+def safety_gate(t):
+    return t["suggestions"].select("suggestion_id", agent.safety_class(F.col("safety_check")).alias("safety"))
+
+
+@register
+def required_metric_gaps(t):
+    return agent.required_metric_gaps(t)
+
+
+def gated(t):
+    d, ev = drafts(t), chosen_evidence(t)
+    g = agent.agent_gates(select.select_experiments(t), t, d, ev, "low", False)
+    return g, agent.prediction_gaps(t, g, d)
+
+
+@register
+def prediction_gaps(t):
+    return gated(t)[1]
+
+
+@register
+def prediction_summary(t):
+    return agent.prediction_summary(agent.prediction_status(*gated(t)))
+
+
+def pending(t):
+    return day_plan.pending_writes(
+        log_results.daily_log_results(t), formulation.formulation_updates(t),
+        literature.literature_findings(literature.linked_evidence(t), 3), select.open_suggestions(t))
+
+
+@register
+def pending_writes(t):
+    return pending(t)
+
+
+@register
+def experiment_updates(t):
+    day = daily.daily_experiments(t, select.select_experiments(t))
+    return day_plan.experiment_updates(t, LOG_DATE, day, audit.preflight_summary(t, "review"), pending(t))
+
+
+@register
+def daily_review(t):
+    day = daily.daily_experiments(t, select.select_experiments(t, date=LOG_DATE))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    totals = daily.daily_summary(t, LOG_DATE).select("experiment_count", "observation_count", "result_count")
+    for one in (
+        count(formulation.formulation_updates(t), "formulation_cells_to_update"),
+        count(select.suggestion_closure(t), "suggestion_rows_to_update"),
+        count(log_results.log_measurements(t["daily_log"]), "normalized_result_rows_to_append"),
+        t["experiments"].agg(F.lit(0).alias("evidence_rows_to_append"), F.lit(0).alias("suggestion_rows_to_append")),
+        audit.preflight_summary(t, "review", day).agg(
+            F.sum("fail_count").alias("preflight_fail_count"), F.sum("warn_count").alias("preflight_warn_count")),
+    ):
+        totals = totals.crossJoin(F.broadcast(one))  # one-row frames
+    return day_plan.daily_review(LOG_DATE, NOW, day, totals)
+
+
+@register_raw
+def daily_run_summary(spark, sf_dir):
+    t = notebook(spark, sf_dir)
+    return day_plan.daily_run(t, LOG_DATE, NOW, works=works(spark, sf_dir))["totals"]

@@ -180,7 +180,7 @@ def material_scaffold(
     blank = F.array().cast("array<string>")
     more = F.coalesce(F.flatten(F.transform("known", lambda x: split_list(x["typical_examples"]))), blank)
     examples = distinct_ignoring_case(F.concat("examples", more))
-    guidance = F.coalesce(F.element_at(F.filter(F.transform("known", lambda x: F.trim(x["guidance"])), lambda g: g != ""), 1), F.lit(""))
+    guidance = F.coalesce(F.get(F.filter(F.transform("known", lambda x: F.trim(x["guidance"])), lambda g: g != ""), F.lit(0)), F.lit(""))
     notes = F.concat_ws(
         " ", F.lit(f"Starter placeholder generated by {generator}; replace with verified reagent identity and physical properties."),
         F.concat(F.lit("Process examples to review: "), F.array_join(F.slice(examples, 1, 6), ", "), F.lit(".")),

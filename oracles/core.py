@@ -148,36 +148,41 @@ cte("enriched", "select f.*, " + ", ".join(f"r.{c} as reagent_{c}" for c in RF)
 QUERIES["formulation_enrich"] = query(
     "select experiment_id, row_key, reagent_id, reagent_name, reagent_category, reagent_molecular_weight_g_mol, \"reagent_density_g_mL\", "
     "reagent_purity_fraction, reagent_concentration, reagent_concentration_units from enriched")
-cte("q1", f"""select *, {n_first('mass_g')} as m0, {n_first('volume_mL')} as v0, {n_first('moles_mmol')} as n0,
+def quantities(p: str, source: str, by: str = "experiment_id") -> None:
+    """CTE chain ``{p}1`` … ``{p}7`` and ``{p}_tot`` over an enriched relation."""
+    cte(p + "1", f"""select *, {n_first('mass_g')} as m0, {n_first('volume_mL')} as v0, {n_first('moles_mmol')} as n0,
  {n_first('reagent_molecular_weight_g_mol')} as mw, {n_first('reagent_density_g_mL')} as d,
  coalesce({n_fraction('reagent_purity_fraction')}, 1.0) as p,
  coalesce({n_first('concentration')}, {n_first('reagent_concentration')}) as c,
- coalesce(nullif(trim(concentration_units),''), nullif(trim(reagent_concentration_units),'')) as u from enriched""")
-cte("q2", f"select *, {molarity('c', norm_units('u'))} as mol, {mass_conc('c', norm_units('u'))} as mc, {mass_fraction('c', norm_units('u'))} as f from q1")
-# one scenario per way the amounts can be known, instead of running values
-cte("q3", """select *,
+ coalesce(nullif(trim(concentration_units),''), nullif(trim(reagent_concentration_units),'')) as u from {source}""")
+    cte(p + "2", f"select *, {molarity('c', norm_units('u'))} as mol, {mass_conc('c', norm_units('u'))} as mc, {mass_fraction('c', norm_units('u'))} as f from {p}1")
+    # one scenario per way the amounts can be known, instead of running values
+    cte(p + "3", """select *,
  case when n0 is null and v0 is not null and mol is not null then v0*mol
       when n0 is null and v0 is not null and mc is not null and mw is not null then v0*mc/mw*1000 end as stock_n,
  case when v0 is not null and mc is not null then v0*mc
       when n0 is null and v0 is not null and mol is not null and mw is not null then v0*mol/1000*mw end as stock_act,
- coalesce(m0, v0*d) as m_dir from q2""")
-cte("q4", """select *, coalesce(n0, stock_n) as n_known,
+ coalesce(m0, v0*d) as m_dir from """ + p + "2")
+    cte(p + "4", """select *, coalesce(n0, stock_n) as n_known,
  case when coalesce(n0, stock_n) is null and m_dir is not null and mw is not null then
    case when stock_act is not null then stock_act when f is not null then m_dir*f
-        when c is not null and u is not null then null else m_dir*p end end as act_m from q3""")
-cte("q5", """select *, coalesce(n_known, act_m/mw*1000) as n,
+        when c is not null and u is not null then null else m_dir*p end end as act_m from """ + p + "3")
+    cte(p + "5", """select *, coalesce(n_known, act_m/mw*1000) as n,
  case when m_dir is null and coalesce(n_known, act_m/mw*1000) is not null and mw is not null and stock_n is null
-      then coalesce(n_known, act_m/mw*1000)/1000*mw end as act_n from q4""")
-cte("q6", """select *, coalesce(m_dir, act_n/coalesce(f,p)) as m,
+      then coalesce(n_known, act_m/mw*1000)/1000*mw end as act_n from """ + p + "4")
+    cte(p + "6", """select *, coalesce(m_dir, act_n/coalesce(f,p)) as m,
  coalesce(v0, m_dir/d, case when m_dir is null then act_n/coalesce(f,p)/d end) as v,
  case when act_n is not null and (f is not null or p<>1.0) then act_n
       when stock_act is not null then stock_act
-      when act_m is not null and (f is not null or p<>1.0) then act_m end as act from q5""")
-cte("q7", """select *, case when m0 is null then round(m,6) end as dm, case when v0 is null then round(v,6) end as dv,
+      when act_m is not null and (f is not null or p<>1.0) then act_m end as act from """ + p + "5")
+    cte(p + "7", """select *, case when m0 is null then round(m,6) end as dm, case when v0 is null then round(v,6) end as dv,
  case when n0 is null then round(n,6) end as dn, round(act,6) as da,
- coalesce(nullif(m0,0.0), nullif(case when m0 is null then round(m,6) end,0.0)) as row_mass from q6""")
-cte("q_tot", "select experiment_id, cast(sum(cast(row_mass as decimal(28,12))) as double) as total from q7 where row_mass>0 "
-    "group by experiment_id having count(*)>=2")
+ coalesce(nullif(m0,0.0), nullif(case when m0 is null then round(m,6) end,0.0)) as row_mass from """ + p + "6")
+    cte(p + "_tot", f"select {by}, cast(sum(cast(row_mass as decimal(28,12))) as double) as total from {p}7 where row_mass>0 "
+    f"group by {by} having count(*)>=2")
+
+
+quantities("q", "enriched")
 cte("quant", """select q7.*, case when row_mass is not null then round(total,6) end as mass_total, round(row_mass/total*100,6) as dw
  from q7 left join q_tot using (experiment_id)""")
 QUERIES["formulation_quantities"] = query(f"""select experiment_id, row_key, reagent_id, target_role, dm as derived_mass_g, dv as "derived_volume_mL",

@@ -125,7 +125,7 @@ _ap += ["select 'missing_update_target', 'Agent Suggestions', 'suggestion_id', s
 QUERIES["apply_audit"] = query(" union all ".join(_ap))
 QUERIES["fold_updates"] = query("""select 'appended' as part, '' as field, count(*) as n, count(case when f.mass_g<>'' or exists (select 1 from updates u where u.field='mass_g' and u.experiment_id=f.experiment_id and u.reagent_id=f.reagent_id and u.target_role=f.target_role) then 1 end) as with_mass from v_formulations f where feed_order='3'
  union all select 'left over', field, count(*), 0 from updates where (experiment_id, reagent_id, target_role) not in (select experiment_id, reagent_id, target_role from v_formulations where feed_order='3') group by field""")
-QUERIES["rows_not_present"] = query("select reagent_id, name from v_reagents where reagent_id not in (select reagent_id from v_formulations where phase='aqueous')")
+QUERIES["rows_not_present"] = query("select reagent_id, name from v_reagents where reagent_id not in (select reagent_id from v_formulations where feed_order='3' and notes<>'')")
 cte("li", top("ev_rows", "experiment_id", "row_key", 3))
 cte("li2", "select experiment_id, list(evidence_id order by rank) as ids from li group by 1")
 cte("li3", "select experiment_id, list_filter(list_transform(string_split(replace(linked_literature_ids,';',','),','), lambda x: trim(x)), lambda x: x<>'') as old, ids from v_experiments join li2 using (experiment_id)")
