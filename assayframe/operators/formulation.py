@@ -115,9 +115,11 @@ def derive_quantities(enriched: DataFrame) -> DataFrame:
             (role.contains("monomer") & c("calc_volume_mL").isNull(), F.lit(VOLUME_GAP)),
         ]),
     })
-    return df.drop("n1", "stk1", "act2", "n2", "stk2", "m3", "v4", "act5", "act5_reported", "n5",
-                   "act6", "act6_reported", "calc_active_g", "molarity", "mass_conc", "fraction", "unit",
-                   "calc_mass_g", "calc_volume_mL", "calc_moles_mmol")
+    # handed over through a generator: a later filter on a derived column stays
+    # above this point instead of being unfolded into the whole derivation
+    out = ["obs_mass_g", "obs_volume_mL", "obs_moles_mmol", "mw", "density", "purity", "stock", "stock_units",
+           "derived_mass_g", "derived_volume_mL", "derived_moles_mmol", "derived_active_mass_g", "missing_for_calculations"]
+    return df.select(*enriched.columns, F.inline(F.array(F.struct(*out))))
 
 
 def row_mass() -> Column:
