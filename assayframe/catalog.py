@@ -661,3 +661,31 @@ def daily_review(t):
 def daily_run_summary(spark, sf_dir):
     t = notebook(spark, sf_dir)
     return day_plan.daily_run(t, LOG_DATE, NOW, works=works(spark, sf_dir))["totals"]
+
+
+# -- sources ------------------------------------------------------------------
+from .sources import tables as sources  # noqa: E402
+
+
+@register
+def scan_clean_rows(t):
+    """Trimmed log rows without the fully blank ones."""
+    raw = t["daily_log"].select("row_key", F.when(F.col("issue_tags") == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), "issue_tags")).alias("issue_tags"),
+                                F.when(F.col("process_stage") == "wait", F.lit(None)).otherwise(F.col("process_stage")).alias("process_stage"))
+    return sources.clean(raw, "daily_log").select("row_key", "process_stage", "issue_tags", "experiment_id")
+
+
+@register
+def snapshot_roundtrip(t):
+    """Experiments written as header-and-values rows and read back."""
+    cols = list(TABLES["experiments"].columns)
+    rows = sources.snapshot_rows({**t}).where("title = 'Experiments'")
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), "values")
+    back = rows.select("row_key", pairs.alias("row")).select("row_key", *[F.try_element_at("row", F.lit(c)).alias(c) for c in cols])
+    return sources.clean(back, "experiments").select("experiment_id", "date", "process_type", "objective", "status")
+
+
+@register_raw
+def works_scan(spark, sf_dir):
+    w = works(spark, sf_dir)
+    return w.select("work_id", "title", "source", F.size("authors").alias("authors"), F.array_join("concepts", ",").alias("concepts"))

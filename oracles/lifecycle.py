@@ -207,3 +207,8 @@ QUERIES["daily_review"] = query("""select 'DRV-20240105-'||array_to_string(list_
  n as experiment_count, obs::bigint as observation_count, res::bigint as result_count, logs as normalized_result_rows_to_append, 0::bigint as evidence_rows_to_append, 0::bigint as suggestion_rows_to_append, fc::bigint as preflight_fail_count, wc::bigint as preflight_warn_count,
  case when fc>0 then 'needs_attention' else 'ready_to_apply' end as status, n||' experiments; '||logs||' normalized Results rows; '||cells||' normalized Formulations cells; 0 evidence rows; 0 suggestion rows; '||clo||' suggestion status updates; '||fc::bigint||' preflight failures.' as summary,
  '["Apply or review normalized Daily Log measurements in Results.","Apply or review normalized Formulations quantities before relying on follow-up calculations.","Apply Agent Suggestions status updates for completed planned follow-ups."]' as next_actions_json from dr""")
+
+# -- sources ------------------------------------------------------------------
+QUERIES["scan_clean_rows"] = query("select row_key, case when process_stage='wait' then '' else process_stage end as process_stage, trim(issue_tags) as issue_tags, '' as experiment_id from v_daily_log where process_stage<>'wait' or trim(issue_tags)<>''")
+QUERIES["snapshot_roundtrip"] = query("select experiment_id, date, process_type, objective, status from v_experiments")
+QUERIES["works_scan"] = query("select work_id, title, source, len(authors)::integer as authors, array_to_string(concepts,',') as concepts from w1")
