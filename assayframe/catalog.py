@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .adapters import notebook, works
 from .functions import metrics, text, units
 from .operators import audit, formulation, history, log_results, results, select
-from .session import tune
+from .session import cut, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LOG_DATE = "2024-01-05"
@@ -527,12 +527,12 @@ NOW = "2026-06-10T08:00:00"
 
 def chosen_evidence(t):
     linked = literature.linked_evidence(t)
-    return literature.evidence_select(t, literature.build_queries(t, linked), linked, results.entry_signals(t))
+    return cut(literature.evidence_select(t, literature.build_queries(t, linked), linked, results.entry_signals(t)))
 
 
-def drafts(t):
-    context = recommend.literature_context(chosen_evidence(t), literature.tags_or_inferred())
-    return recommend.recommendations(t, results.experiment_signals(t), context, day_plan.entry_knowledge(t))
+def drafts(t, chosen=None):
+    context = recommend.literature_context(chosen_evidence(t) if chosen is None else chosen, literature.tags_or_inferred())
+    return cut(recommend.recommendations(t, results.experiment_signals(t), context, cut(day_plan.entry_knowledge(t))))
 
 
 @register
@@ -594,7 +594,8 @@ def recommendation(t):
 
 @register
 def agent_gates(t):
-    return agent.agent_gates(select.select_experiments(t), t, drafts(t), chosen_evidence(t), "medium", True)
+    ev = chosen_evidence(t)
+    return agent.agent_gates(select.select_experiments(t), t, drafts(t, ev), ev, "medium", True)
 
 
 @register
@@ -608,8 +609,9 @@ def required_metric_gaps(t):
 
 
 def gated(t):
-    d, ev = drafts(t), chosen_evidence(t)
-    g = agent.agent_gates(select.select_experiments(t), t, d, ev, "low", False)
+    ev = chosen_evidence(t)
+    d = drafts(t, ev)
+    g = cut(agent.agent_gates(select.select_experiments(t), t, d, ev, "low", False))
     return g, agent.prediction_gaps(t, g, d)
 
 

@@ -291,8 +291,10 @@ def evidence_documents(linked: DataFrame) -> DataFrame:
 
 def asked_texts(t: dict[str, DataFrame], queries: DataFrame, keep: DataFrame) -> DataFrame:
     """Query side of each experiment in ``keep``, in pieces: its query and its whole entry text."""
-    pieces = queries.select("experiment_id", "text").unionByName(entry_texts(t).select("experiment_id", "text"))
-    return lookup(pieces, keep.select("experiment_id").distinct(), ["experiment_id"], "left_semi")
+    pieces = queries.select("experiment_id", "text", F.lit(True).alias("asked")).unionByName(
+        entry_texts(t).select("experiment_id", "text", F.lit(False).alias("asked")))
+    # assembled once, read for token counts, terms and flags
+    return cut(lookup(pieces, keep.select("experiment_id").distinct(), ["experiment_id"], "left_semi"))
 
 
 def group_scores(docs: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -305,7 +307,7 @@ def group_scores(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     tf = cut(term_counts(docs, ["experiment_id", "doc_id"]))
     idf = inverse_document_frequency(tf, docs.groupBy(*g).agg(F.count("*").alias("docs")), g)
     toks = pieces.select("experiment_id", F.explode(words(F.col("text"))).alias("token"))
-    q = toks.groupBy("experiment_id", "token").agg(F.count("*").alias("n"))
+    q = cut(toks.groupBy("experiment_id", "token").agg(F.count("*").alias("n")))
     total = q.groupBy("experiment_id").agg(F.sum("n").alias("total"))
     q = lookup(lookup(q, total, g, "inner"), idf.drop("df"), ["experiment_id", "token"])
     q = q.withColumn("w", F.col("n") / F.col("total") * F.coalesce("idf", F.lit(1.0)))
@@ -338,9 +340,8 @@ def evidence_select(
         F.max(F.col("signal").isin(v).cast("int")).alias(k2) for k2, v in (
             ("s_size", ["particle_size_high", "broad_psd"]), ("s_stab", ["coagulum", "instability"]),
             ("s_init", ["low_conversion", "residual_monomer_high"]))])
-    entry = lookup(entry_texts(t), linked.select("experiment_id").distinct(), ["experiment_id"], "left_semi")
     low = F.lower("text")
-    x = entry.groupBy("experiment_id").agg(*[
+    x = pieces.where("not asked").groupBy("experiment_id").agg(*[
         F.max(contains_any(low, v).cast("int")).alias(k2) for k2, v in (
             ("x_surf", ["surfactant", "sds"]), ("x_feed", ["feed"]), ("x_mono", ["monomer", "acrylate"]))])
     tags = evidence_tags()

@@ -151,22 +151,22 @@ def daily_run(
     t: dict[str, DataFrame], date: str, created_at: str, ids: list[str] | None = None, works: DataFrame | None = None,
     history_limit: int = 5, evidence_limit: int = 3, confidence_floor: str = "low", require_evidence: bool = False, force: bool = False,
 ) -> dict[str, DataFrame]:
-    """All outputs of a daily run as lazy frames.
+    """All outputs of a daily run.  Results that several outputs build on are written once in between.
 
     Summary, log rows and experiment updates read the notebook as it is;
     formulation updates, gates and preflight read it with the pending log rows
     and quantities projected in.
     """
-    selected = select_experiments(t, ids, date)
+    selected = cut(select_experiments(t, ids, date))
     day = daily.daily_experiments(t, selected)
-    log_rows = log_results.daily_log_results(t, selected, date)
+    log_rows = cut(log_results.daily_log_results(t, selected, date))
     p = {**t, "results": changes.append_rows(t["results"], log_rows, "results")}
-    updates = formulation.formulation_updates(p, selected)
+    updates = cut(formulation.formulation_updates(p, selected))
     p["formulations"] = changes.apply_updates(t["formulations"], updates, ["experiment_id", "reagent_id", "target_role", ROW_KEY])
     signals = results.entry_signals(p)
     linked = lookup(literature.linked_evidence(p), selected, ["experiment_id"], "left_semi")
-    queries = literature.build_queries(p, selected)
-    chosen = literature.evidence_select(p, queries, linked, signals, evidence_limit)
+    queries = cut(literature.build_queries(p, selected))
+    chosen = cut(literature.evidence_select(p, queries, linked, signals, evidence_limit))
     fresh = None
     if works is not None:
         bare = lookup(queries, linked.select("experiment_id").distinct(), ["experiment_id"], "left_anti")
@@ -176,7 +176,7 @@ def daily_run(
             "rank": F.substring("evidence_id", -3, 3).cast("int"), "score": F.lit(0.0), ROW_KEY: F.col("evidence_id"),
         }).select(*chosen.columns))
     context = literature_context(chosen, literature.tags_or_inferred())
-    rec = recommendations(p, results.experiment_signals(p), context, entry_knowledge(p, 1, selected), history_limit)
+    rec = cut(recommendations(p, results.experiment_signals(p), context, cut(entry_knowledge(p, 1, selected)), history_limit))
     gates = agent_gates(selected, p, rec, chosen, confidence_floor, require_evidence, force)
     ready = gates.where("status = 'ready'").select("experiment_id")
     drafts = suggestion_rows(lookup(rec, ready, ["experiment_id"], "left_semi"), created_at)
