@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,20 +23,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
+    """Folder for intermediate tables: the one the session names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, a laptop) a temporary folder takes its place.
+    Where none is named, a single-process session (tests, a laptop) uses its
+    warehouse folder, which it reads by the same path everywhere; on a cluster
+    the setting is required.
     """
-    global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="assayframe-")
-    return _own_folder
-
-
-_own_folder: str | None = None
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
 def cut(df: DataFrame) -> DataFrame:
