@@ -173,8 +173,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, sent
         packer = _Packer(size, penalties, stop_ids(tokenizer), TaskContext.get().partitionId() << 36)
         closing = np.array([end], store.kind)
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), raw_texts(b)):
-                for columns in packer.add(doc_id, np.concatenate([store.ids(text), closing])):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), store.ids(raw_texts(b))):
+                for columns in packer.add(doc_id, np.concatenate([ids, closing])):
                     yield record_batch(_PIECES, columns)
         for columns in packer.flush(True):
             yield record_batch(_PIECES, columns)

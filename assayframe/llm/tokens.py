@@ -10,6 +10,7 @@ other word goes through the whole library tokenizer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,43 +19,75 @@ import numpy as np
 STORE = 500_000
 #: Longest word kept, in bytes.
 LONGEST = 64
+#: Bytes of text looked at together.
+STRETCH = 1 << 20
 _TAIL = b".,!?*$%&#|;:"
 
 
-class WordIds(dict):
-    """Lower-cased word (bytes) to its ids as little-endian numbers of ``kind``."""
+class WordIds:
+    """``store``: lower-cased word (bytes) to its ids as little-endian numbers of ``kind``."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.store: dict[bytes, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.whole.model)
-        self.kind = np.dtype("<u2" if self.whole.get_vocab_size(True) <= 1 << 16 else "<u4")
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.whole.get_vocab(True)
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(33, 256) if chr(c).isalpha()]
-        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters}
-
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_TAIL)
-        if core and len(core) < len(word) and 97 <= core[-1] <= 122:  # letters and a run of marks are split anyway
-            ids = self[core] + self[word[len(core) :]]
-        else:
-            text = word.decode("utf-8")
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256)) if c.isalpha()}
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words: plain Latin words in one call of the model, others one by one."""
+        store, split = self.store, {}
+        for w in words:
+            core = w.rstrip(_TAIL)
+            if core and len(core) < len(w) and 97 <= core[-1] <= 122:  # letters and a run of marks are split anyway
+                split[w] = (core, w[len(core) :])
+        need = (words - split.keys()).union(*split.values()).difference(self.store)
+        plain = []
+        for w in need:
+            text = w.decode("utf-8")
             if text.isalpha() and max(text) < "Ā":
-                found = self.bare.encode(text.lower().translate(self.letters), add_special_tokens=False)
+                plain.append((w, text.lower().translate(self.letters)))
             else:
-                found = self.whole.encode(text, add_special_tokens=False)
-            ids = np.array(found.ids, self.kind).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= STORE:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> np.ndarray:
-        """Ids of a whole text."""
-        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind)
+                store[w] = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if plain:
+            ids = np.array(self.bare.encode_batch_fast([" ".join(t for _, t in plain)], add_special_tokens=False)[0].ids, self.kind)
+            raw, size = ids.tobytes(), self.kind.itemsize
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * size).tolist()
+            for (w, _), lo, hi in zip(plain, [0, *ends], ends, strict=False):
+                store[w] = raw[lo:hi]
+            if len(ends) != len(plain):
+                raise ValueError("the tokenizer does not close each word with one token")
+        for w, (core, tail) in split.items():
+            store[w] = store[core] + store[tail]
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of whole texts."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= STRETCH):
+                size += len(texts[hi])
+                hi += 1
+            words = [t.lower().split() for t in texts[lo:hi]]
+            seen = set().union(*words)
+            new = seen.difference(self.store)
+            if len(self.store) + len(new) > STORE:
+                self.store.clear()
+                new = seen
+            self._learn(new)
+            for ws in words:
+                yield np.frombuffer(b"".join(map(self.store.__getitem__, ws)), self.kind)
+            for w in new:
+                if len(w) > LONGEST:
+                    del self.store[w]
+            lo = hi
 
 
 @lru_cache(maxsize=2)
