@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 #: Rows in one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS = 256
+BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows: texts can be very long."""
+    """Arrow batches of few rows and bytes: texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -30,13 +30,14 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from assayframe.llm.common import raw_texts, record_batch, small_batches, texts
+from assayframe.llm.common import record_batch, small_batches, texts
 from assayframe.llm.tokens import word_ids
 
 SIZE = 2048
@@ -173,9 +174,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, sent
         packer = _Packer(size, penalties, stop_ids(tokenizer), TaskContext.get().partitionId() << 36)
         closing = np.array([end], store.kind)
         for b in batches:
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), store.ids(raw_texts(b))):
-                for columns in packer.add(doc_id, np.concatenate([ids, closing])):
-                    yield record_batch(_PIECES, columns)
+            names = iter(b.column("doc_id").to_pylist())
+            for ids, lengths in store.ids(b.column("text")):
+                for doc_id, own in zip(islice(names, len(lengths)), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                    for columns in packer.add(doc_id, np.concatenate([own, closing])):
+                        yield record_batch(_PIECES, columns)
         for columns in packer.flush(True):
             yield record_batch(_PIECES, columns)
 

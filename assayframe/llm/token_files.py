@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayframe.llm.common import raw_texts, record_batch, small_batches, texts
+from assayframe.llm.common import record_batch, small_batches, texts
 from assayframe.llm.tokens import word_ids
 from assayframe.session import cut
 
@@ -54,9 +54,9 @@ _SHARDS_DDL = ("part long, seq long, before long, n_tokens long, first_doc long,
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _encoded(store, found: list[bytes], end: int) -> list[bytes]:
+def _encoded(store, found: pa.Array, end: int) -> list[bytes]:
     closing = np.array([end], store.kind).tobytes()
-    return [ids.tobytes() + closing for ids in store.ids(found)]
+    return [own.tobytes() + closing for ids, lengths in store.ids(found) for own in np.split(ids, np.cumsum(lengths)[:-1])]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int = END, size: int = DICTIONARY_BYTES) -> bytes:
@@ -66,7 +66,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int = END, size: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = word_ids(tokenizer)
         for b in batches:
-            yield record_batch(pa.schema([("ids", pa.binary())]), [[x[:SAMPLE_BYTES] for x in _encoded(store, raw_texts(b), end)]])
+            yield record_batch(pa.schema([("ids", pa.binary())]), [[x[:SAMPLE_BYTES] for x in _encoded(store, b.column("text"), end)]])
 
     sample = texts(docs).join(F.broadcast(chosen), "doc_id").limit(SAMPLE_DOCS)  # the chosen ids: SAMPLE_DOCS rows at most
     samples = [bytes(r["ids"]) for r in sample.mapInArrow(run, "ids binary").collect()]
@@ -93,7 +93,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = END
         store = word_ids(tokenizer)
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(dictionary)).compress
         for b in batches:
-            raw = _encoded(store, raw_texts(b), end)
+            raw = _encoded(store, b.column("text"), end)
             yield record_batch(_FRAMES, [b.column("doc_id"), [len(r) // width for r in raw], [pack(r) for r in raw]])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,13 +14,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that one Python worker keeps; about 200 bytes each.
 STORE = 500_000
 #: Longest word kept, in bytes.
 LONGEST = 64
 #: Bytes of text looked at together.
-STRETCH = 1 << 20
+STRETCH = 8 << 20
 _TAIL = b".,!?*$%&#|;:"
 
 
@@ -46,11 +48,14 @@ class WordIds:
         store, split = self.store, {}
         for w in words:
             core = w.rstrip(_TAIL)
-            if core and len(core) < len(w) and 97 <= core[-1] <= 122:  # letters and a run of marks are split anyway
-                split[w] = (core, w[len(core) :])
-        need = (words - split.keys()).union(*split.values()).difference(self.store)
+            if len(core) < len(w) and (core[-1:].isalpha() or core[-2:-1] == b"\xc3" and core[-1:] not in b"\x97\xb7"):
+                split[w] = (core, w[len(core) :])  # Latin letters and a run of marks are split anyway
+        need = (words - split.keys()).union(*split.values()).difference(store)
         plain = []
         for w in need:
+            if w.isalpha():
+                plain.append((w, w.decode("ascii")))
+                continue
             text = w.decode("utf-8")
             if text.isalpha() and max(text) < "Ā":
                 plain.append((w, text.lower().translate(self.letters)))
@@ -67,26 +72,34 @@ class WordIds:
         for w, (core, tail) in split.items():
             store[w] = store[core] + store[tail]
 
-    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Ids of whole texts."""
+    def ids(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For stretches of the texts (strings, no nulls): all ids one after another, and each text's number of ids."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= STRETCH):
-                size += len(texts[hi])
-                hi += 1
-            words = [t.lower().split() for t in texts[lo:hi]]
-            seen = set().union(*words)
-            new = seen.difference(self.store)
-            if len(self.store) + len(new) > STORE:
-                self.store.clear()
-                new = seen
-            self._learn(new)
-            for ws in words:
-                yield np.frombuffer(b"".join(map(self.store.__getitem__, ws)), self.kind)
-            for w in new:
-                if len(w) > LONGEST:
-                    del self.store[w]
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + STRETCH, side="right")))
+            words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo)))
+            coded = words.flatten().dictionary_encode()
+            distinct = coded.dictionary.cast(pa.binary() if pa.types.is_string(coded.type.value_type) else pa.large_binary()).to_pylist()
+            found = list(map(self.store.get, distinct))
+            new = {w for w, k in zip(distinct, found) if k is None}
+            if new:
+                if len(self.store) + len(new) > STORE:
+                    self.store.clear()
+                self._learn(new)
+                found = [self.store[w] if k is None else k for w, k in zip(distinct, found)]
+                for w in new:
+                    if len(w) > LONGEST:
+                        del self.store[w]
+            flat = np.frombuffer(b"".join(found), self.kind)
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            many = lengths[which]
+            ends = np.cumsum(many)
+            shift = (np.cumsum(lengths) - lengths)[which] - (ends - many)
+            ids = flat[np.repeat(shift, many) + np.arange(len(ends) and ends[-1])]
+            at = np.concatenate([[0], ends])[words.offsets.to_numpy() - words.offsets[0].as_py()]
+            yield ids, np.diff(at)
             lo = hi
 
 
