@@ -12,8 +12,8 @@ of its first bytes; buckets are refined by the buckets of later offsets:
 * An anchor stands for a run of starts.  Its bucket is refined by the bucket of the
   whole text that these starts cover (the context).  All but the first of equal
   contexts are repeats as a whole.  A bucket with a single context is done.
-* What is left, the first ones of different contexts in one bucket, is refined to
-  single starts: the bucket of the ``length`` bytes at each start.  All but the first are repeats.
+* What is left, the first ones of different contexts in one bucket, is cut into
+  parts of ``WIDTH`` starts, which are refined in the same way, and what is left of these into single starts.
 
 "First" is by smaller doc_id, then earlier start.  Counts and firsts are
 aggregated before rows meet, so no task gathers a frequent bucket.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.common import in_pieces, raw_texts, record_batch, small_batches, texts
@@ -39,11 +39,9 @@ from assayframe.session import cut
 
 LENGTH = 100
 SEED = 24
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("seed", pa.int64()), ("context", pa.int64())])
-_STARTS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64()), ("seed", pa.int64()), ("shift", pa.int32()), ("name", pa.int64())])
-_DONE = pa.schema(
-    [("doc_id", pa.int64()), ("copy", pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
-)
+#: Starts in one part of an anchor's run.
+WIDTH = 6
+_ANCHORS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("seed", pa.int64()), ("name", pa.int64())])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,11 +150,7 @@ def find_anchors(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
             if parts:
                 yield from in_pieces([np.concatenate(c) for c in zip(*parts)], _ANCHORS)
 
-    return docs.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, at long, lo long, hi long, seed long, context long")
-
-
-def _first() -> Column:
-    return F.min(F.struct("doc_id", "copy", "at"))
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, at long, lo long, hi long, seed long, name long")
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,51 +162,75 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], np.concatenate([ends[at[1:] - 1], ends[-1:]])
 
 
+def _settle(rows: DataFrame, bucket: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """Refine buckets by ``name``: spans of all but the first of equal names, and the firsts of buckets with several names."""
+    whole_row = F.struct("doc_id", "copy", "at", "lo", "hi", "seed")
+    same = cut(rows.groupBy(*bucket, "name").agg(F.count(F.lit(1)).alias("n"), F.min(whole_row).alias("first")))
+    copies = rows.join(same.where("n > 1").select(*bucket, "name", "first"), [*bucket, "name"])
+    copies = copies.where(F.struct("doc_id", "copy", "at") > F.struct("first.doc_id", "first.copy", "first.at"))
+    mixed = same.groupBy(*bucket).agg(F.count(F.lit(1)).alias("names")).where("names > 1").select(*bucket)
+    return copies.select("doc_id", "copy", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")), same.join(mixed, bucket).select("first.*")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, copy, spans): sorted, disjoint byte spans to remove of each document that has any.
+    """(doc_id, copy, spans): byte spans to remove of each document that has any; they may overlap.
 
     ``docs`` needs doc_id, copy and text (see ``_numbered``).
     """
     marks = find_anchors(docs, length, seed)
     often = marks.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
     hits = cut(marks.join(often, "seed"))
-    same = cut(hits.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("n"), _first().alias("first")))
-    mixed = same.groupBy("seed").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("seed")
-    here = F.struct("doc_id", "copy", "at")
-    copies = hits.join(same.where("n > 1").select("seed", "context", "first"), ["seed", "context"]).where(here > F.col("first"))
-    whole = copies.select("doc_id", "copy", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
-    split = same.join(mixed, "seed").select("seed", F.col("first.doc_id").alias("doc_id"), F.col("first.copy").alias("copy"), F.col("first.at").alias("at"))
-    open_ = hits.select("doc_id", "copy", "at", "lo", "hi", "seed").join(split, ["doc_id", "copy", "at", "seed"])
-    singles = cut(_single_starts(docs, open_, length))
-    firsts = singles.groupBy("seed", "shift", "name").agg(F.count(F.lit(1)).alias("n"), _first().alias("first")).where("n > 1")
-    later = singles.join(firsts.select("seed", "shift", "name", "first"), ["seed", "shift", "name"]).where(here > F.col("first"))
-    single = later.select("doc_id", "copy", (F.col("at") + F.col("shift")).alias("a"), (F.col("at") + F.col("shift") + length).alias("b"))
-    return whole.unionByName(single).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
-
-
-def _single_starts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """One row for each start of the open anchors, named by its ``length`` bytes."""
+    whole, open_ = _settle(hits, ["seed"], length)
+    parts = cut(_parts(docs, cut(open_), length, WIDTH))
+    partly, open_ = _settle(parts, ["place", "core"], length)
+    singles = cut(_parts(docs, cut(open_), length, 1))
+    single, _ = _settle(singles, ["place", "core"], length)
+    spans = whole.unionByName(partly).unionByName(single)
+    return spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def _parts(docs: DataFrame, open_: DataFrame, length: int, width: int) -> DataFrame:
+    """Runs of starts cut at shifts (from the anchor) divisible by ``width``.
+
+    ``place`` names anchor bucket and shift, ``core`` the text that all strings of a
+    full part have in common, so different cores share no string; ``name`` the text of the part.
+    """
     lists = open_.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("at", "lo", "hi", "seed")).alias("runs"))
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "copy", "at", "lo", "hi", "seed", "place", "core", "name")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), raw_texts(b), b.column("runs").to_pylist(), strict=True)
-            for doc_id, copy, text, runs in rows:
-                at, lo, hi, seed = (np.array([r[k] for r in runs], np.int64) for k in ("at", "lo", "hi", "seed"))
-                many = hi - lo + 1
-                starts = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                owner = np.repeat(np.arange(len(runs)), many)
-                name = Names(text).of(starts, starts + length).view(np.int64)
-                yield from in_pieces(
-                    [np.full(len(starts), doc_id), np.full(len(starts), copy), at[owner], seed[owner], (starts - at[owner]).astype(np.int32), name], _STARTS
-                )
-
-    ddl = "doc_id long, copy long, at long, seed long, shift int, name long"
+            ids, copies, found = b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), b.column("runs")
+            ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+            all_runs = [found.flatten().field(c).to_numpy() for c in ("at", "lo", "hi", "seed")]
+            held, out = 0, []
+            for k, text in enumerate(raw_texts(b)):
+                at, lo, hi, seed = (c[ends[k] : ends[k + 1]] for c in all_runs)
+                first, last = (lo - at) // width, (hi - at) // width
+                many = last - first + 1
+                owner = np.repeat(np.arange(len(at)), many)
+                step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+                at, seed = at[owner], seed[owner]
+                lo, hi = np.maximum(lo[owner], at + step * width), np.minimum(hi[owner], at + step * width + width - 1)
+                names = Names(text)
+                shape = (lo - at - step * width).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64)
+                name = (names.of(lo, hi + length) ^ shape) * _ODD
+                core = names.of(at + step * width + width - 1, at + step * width + length)
+                place = seed.view(np.uint64) * _ODD + step.astype(np.uint64)
+                out.append((np.full(len(at), ids[k]), np.full(len(at), copies[k]), at, lo, hi, seed, place.view(np.int64), core.view(np.int64), name.view(np.int64)))
+                held += len(at)
+                if held > 1 << 16:
+                    yield from in_pieces([np.concatenate(c) for c in zip(*out)], schema)
+                    held, out = 0, []
+            if held:
+                yield from in_pieces([np.concatenate(c) for c in zip(*out)], schema)
+
+    ddl = ", ".join(f"{f.name} long" for f in schema)
     return docs.select("doc_id", "copy", "text").join(lists, ["doc_id", "copy"]).mapInArrow(run, ddl)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, ``columns`` and ``spans`` (sorted byte spans to remove, null: none) of each row of ``docs``."""
+    """doc_id, text, ``columns`` and ``spans`` (byte spans to remove, null: none) of each row of ``docs``."""
     rows = _numbered(docs, columns)
     spans = repeated_spans(rows.select("doc_id", "copy", "text"), length, seed)
     return rows.join(spans, ["doc_id", "copy"], "left").drop("copy")
