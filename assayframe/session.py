@@ -37,12 +37,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and go on from there.
+class Run:
+    """Intermediate tables of one run in a folder of their own, removed by ``close``."""
 
-    The written columns are compressed and pruned on reading, their size is
-    known to the optimizer, and losing an executor costs nothing.
-    """
-    path = f"{shared_folder(df.sparkSession)}/assayframe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/assayframe/{uuid.uuid4().hex}"
+        self._made = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as a table of this run and go on from there.
+
+        The written columns are compressed and pruned on reading, their size is
+        known to the optimizer, and losing an executor costs nothing.
+        """
+        self._made += 1
+        path = f"{self.path}/{self._made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Remove the run's tables; frames read from them are of no use afterwards."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and go on from there; see ``Run`` for tables that can go earlier."""
+    return Run(df.sparkSession).cut(df)
