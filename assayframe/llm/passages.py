@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayframe.llm.common import in_pieces, raw_texts, record_batch, small_batches, texts
-from assayframe.session import cut
+from assayframe.session import Run, cut
 
 LENGTH = 100
 SEED = 24
@@ -162,10 +162,10 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[at], np.concatenate([ends[at[1:] - 1], ends[-1:]])
 
 
-def _settle(rows: DataFrame, bucket: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+def _settle(run: Run, rows: DataFrame, bucket: list[str], length: int) -> tuple[DataFrame, DataFrame]:
     """Refine buckets by ``name``: spans of all but the first of equal names, and the firsts of buckets with several names."""
     whole_row = F.struct("doc_id", "copy", "at", "lo", "hi", "seed")
-    same = cut(rows.groupBy(*bucket, "name").agg(F.count(F.lit(1)).alias("n"), F.min(whole_row).alias("first")))
+    same = run.cut(rows.groupBy(*bucket, "name").agg(F.count(F.lit(1)).alias("n"), F.min(whole_row).alias("first")))
     copies = rows.join(same.where("n > 1").select(*bucket, "name", "first"), [*bucket, "name"])
     copies = copies.where(F.struct("doc_id", "copy", "at") > F.struct("first.doc_id", "first.copy", "first.at"))
     mixed = same.groupBy(*bucket).agg(F.count(F.lit(1)).alias("names")).where("names > 1").select(*bucket)
@@ -177,16 +177,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
 
     ``docs`` needs doc_id, copy and text (see ``_numbered``).
     """
+    run = Run(docs.sparkSession)
     marks = find_anchors(docs, length, seed)
     often = marks.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    hits = cut(marks.join(often, "seed"))
-    whole, open_ = _settle(hits, ["seed"], length)
-    parts = cut(_parts(docs, cut(open_), length, WIDTH))
-    partly, open_ = _settle(parts, ["place", "core"], length)
-    singles = cut(_parts(docs, cut(open_), length, 1))
-    single, _ = _settle(singles, ["place", "core"], length)
+    hits = run.cut(marks.join(often, "seed"))
+    whole, open_ = _settle(run, hits, ["seed"], length)
+    parts = run.cut(_parts(docs, run.cut(open_), length, WIDTH))
+    partly, open_ = _settle(run, parts, ["place", "core"], length)
+    singles = run.cut(_parts(docs, run.cut(open_), length, 1))
+    single, _ = _settle(run, singles, ["place", "core"], length)
     spans = whole.unionByName(partly).unionByName(single)
-    return spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = cut(spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    run.close()
+    return found
 
 
 def _parts(docs: DataFrame, open_: DataFrame, length: int, width: int) -> DataFrame:
