@@ -70,17 +70,22 @@ def num_fraction(c: Column) -> Column:
 def exact_sum(c: Column) -> Column:
     """Sum of doubles that does not depend on row order.
 
-    Adds as DECIMAL; values too large for it (beyond 1e15) fall back to a double sum.
+    Adds as DECIMAL.  A group with a value too large for it (beyond 1e15) has no sum (NULL).
     """
     d = c.try_cast("decimal(28,12)")
-    return F.when(F.count(d) == F.count(c), F.sum(d).cast("double")).otherwise(F.sum(c))
+    return F.when(F.count(d) == F.count(c), F.sum(d).cast("double"))
+
+
+def round6(c: Column) -> Column:
+    """Six decimals: the double nearest to a whole number of millionths, halves of the scaled double to even."""
+    return F.rint(c * 1e6) / 1e6
 
 
 # -- formatting ---------------------------------------------------------------
 
 def fmt6(c: Column) -> Column:
     """At most six decimals, trailing zeros dropped (``2.5``, ``3``)."""
-    s = F.format_string("%.6f", F.round(c, 6))
+    s = F.format_string("%.6f", round6(c))
     return F.when(c.isNotNull(), F.regexp_replace(s, r"\.?0+$", ""))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..contract import ROW_KEY
 from ..functions.joins import first_rows, lookup
+from ..functions.text import round6
 from ..functions.text import (
     blank_to_null, exact_sum, fmt6, nonblank, num_first_token, num_fraction, present, text,
 )
@@ -106,10 +107,10 @@ def derive_quantities(enriched: DataFrame) -> DataFrame:
     for r in ["monomer", "initiator", "surfactant", "crosslinker"]:
         needs_moles = needs_moles | role.contains(r)
     df = df.withColumns({
-        "derived_mass_g": F.when(c("obs_mass_g").isNull(), F.round(c("calc_mass_g"), 6)),
-        "derived_volume_mL": F.when(c("obs_volume_mL").isNull(), F.round(c("calc_volume_mL"), 6)),
-        "derived_moles_mmol": F.when(c("obs_moles_mmol").isNull(), F.round(c("calc_moles_mmol"), 6)),
-        "derived_active_mass_g": F.round(c("calc_active_g"), 6),
+        "derived_mass_g": F.when(c("obs_mass_g").isNull(), round6(c("calc_mass_g"))),
+        "derived_volume_mL": F.when(c("obs_volume_mL").isNull(), round6(c("calc_volume_mL"))),
+        "derived_moles_mmol": F.when(c("obs_moles_mmol").isNull(), round6(c("calc_moles_mmol"))),
+        "derived_active_mass_g": round6(c("calc_active_g")),
         "missing_for_calculations": present([
             (needs_moles & c("calc_moles_mmol").isNull(), F.lit(MOLES_GAP)),
             (role.contains("monomer") & c("calc_volume_mL").isNull(), F.lit(VOLUME_GAP)),
@@ -147,8 +148,8 @@ def formulation_quantities(t: dict[str, DataFrame]) -> DataFrame:
     derived = derive_quantities(enrich(t["formulations"], t["reagents"]))
     df = lookup(derived, mass_totals(derived), ["experiment_id"])
     return df.withColumns({
-        "formulation_mass_total_g": F.when(row_mass().isNotNull(), F.round(F.col("mass_total"), 6)),
-        "derived_wt_percent": F.round(row_mass() / F.col("mass_total") * 100, 6),
+        "formulation_mass_total_g": F.when(row_mass().isNotNull(), round6(F.col("mass_total"))),
+        "derived_wt_percent": round6(row_mass() / F.col("mass_total") * 100),
     }).drop("mass_total")
 
 

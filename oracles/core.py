@@ -39,7 +39,7 @@ def n_fraction(x: str) -> str:
 
 
 def fmt6(x: str) -> str:
-    return f"regexp_replace(printf('%.6f', round({x}, 6)), '\\.?0+$', '')"
+    return f"regexp_replace(printf('%.6f', round_even(({x})*1e6, 0)/1e6), '\\.?0+$', '')"
 
 
 def inlist(values) -> str:
@@ -175,15 +175,15 @@ def quantities(p: str, source: str, by: str = "experiment_id") -> None:
  case when act_n is not null and (f is not null or p<>1.0) then act_n
       when stock_act is not null then stock_act
       when act_m is not null and (f is not null or p<>1.0) then act_m end as act from """ + p + "5")
-    cte(p + "7", """select *, case when m0 is null then round(m,6) end as dm, case when v0 is null then round(v,6) end as dv,
- case when n0 is null then round(n,6) end as dn, round(act,6) as da,
- coalesce(nullif(m0,0.0), nullif(case when m0 is null then round(m,6) end,0.0)) as row_mass from """ + p + "6")
+    cte(p + "7", """select *, case when m0 is null then round_even(m*1e6,0)/1e6 end as dm, case when v0 is null then round_even(v*1e6,0)/1e6 end as dv,
+ case when n0 is null then round_even(n*1e6,0)/1e6 end as dn, round_even(act*1e6,0)/1e6 as da,
+ coalesce(nullif(m0,0.0), nullif(case when m0 is null then round_even(m*1e6,0)/1e6 end,0.0)) as row_mass from """ + p + "6")
     cte(p + "_tot", f"select {by}, cast(sum(cast(row_mass as decimal(28,12))) as double) as total from {p}7 where row_mass>0 "
     f"group by {by} having count(*)>=2")
 
 
 quantities("q", "enriched")
-cte("quant", """select q7.*, case when row_mass is not null then round(total,6) end as mass_total, round(row_mass/total*100,6) as dw
+cte("quant", """select q7.*, case when row_mass is not null then round_even(total*1e6,0)/1e6 end as mass_total, round_even(row_mass/total*100*1e6,0)/1e6 as dw
  from q7 left join q_tot using (experiment_id)""")
 QUERIES["formulation_quantities"] = query(f"""select experiment_id, row_key, reagent_id, target_role, dm as derived_mass_g, dv as "derived_volume_mL",
  dn as derived_moles_mmol, da as derived_active_mass_g, mass_total as formulation_mass_total_g, dw as derived_wt_percent,
