@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\f\r"
 NOT_WORD = r"[\x20\x09-\x0D]+"
 #: Rows in one Arrow batch, so that a batch of very long texts stays small.
-BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

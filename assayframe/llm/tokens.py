@@ -18,11 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that one Python worker keeps; about 200 bytes each.
-STORE = 500_000
+STORE = 300_000
 #: Longest word kept, in bytes.
 LONGEST = 64
 #: Bytes of text looked at together.
-STRETCH = 8 << 20
+STRETCH = 2 << 20
 _TAIL = b".,!?*$%&#|;:"
 
 
