@@ -169,7 +169,8 @@ def _settle(run: Run, rows: DataFrame, bucket: list[str], length: int) -> tuple[
     copies = rows.join(same.where("n > 1").select(*bucket, "name", "first"), [*bucket, "name"])
     copies = copies.where(F.struct("doc_id", "copy", "at") > F.struct("first.doc_id", "first.copy", "first.at"))
     mixed = same.groupBy(*bucket).agg(F.count(F.lit(1)).alias("names")).where("names > 1").select(*bucket)
-    return copies.select("doc_id", "copy", F.col("lo").alias("a"), (F.col("hi") + length).alias("b")), same.join(mixed, bucket).select("first.*")
+    spans = copies.select("doc_id", "copy", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    return run.cut(spans), same.join(mixed, bucket).select("first.*")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
