@@ -1,10 +1,12 @@
 """Subword lattice language model: documents scored by the marginal probability of all segmentations.
 
 The pieces are those of an existing unigram-scored vocabulary (a sentencepiece model).
-Their weights are learnt from the training documents: every distinct word is segmented
-by the vocabulary's own scores, its pieces count as often as the word, and ``PRIOR`` pseudo-counts
-follow the vocabulary's order.  The probability of a word is the sum over all
-ways to cut it into pieces, by a forward recursion in logarithms; characters
+Their weights are learnt from the training documents: every distinct word is segmented once
+by the vocabulary's own scores and its pieces are counted, and ``PRIOR`` pseudo-counts
+follow the vocabulary's order.  The training words themselves are further pieces, each an
+arc over the whole word.  With N training tokens, V of them distinct, such an arc weighs c / (N + V), and
+the cuts into vocabulary pieces share the weight V / (N + V), so that all probabilities add up to at most one.
+The probability of a word is the sum over all ways to cut it, by a forward recursion in logarithms; characters
 without a piece fall back to their bytes, so every word has one.  A document's probability is that of its words and one end.
 
 Word counts are a shuffled table.  Only the ``COMMON`` most frequent words (short ones) go to the
@@ -83,7 +85,7 @@ def _pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def piece_logs(words: DataFrame, vocabulary: str, ends: int) -> tuple[dict[str, float], float]:
+def piece_logs(words: DataFrame, vocabulary: str) -> tuple[dict[str, float], float]:
     """Natural logarithms of the pieces' and the end's probabilities; as many as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +93,11 @@ def piece_logs(words: DataFrame, vocabulary: str, ends: int) -> tuple[dict[str,
         counts = np.zeros(model.vocab_size())
         for b in batches:
             found = model.encode(b.column("word").to_pylist(), num_threads=1)
-            many = np.repeat(b.column("c").to_numpy(), np.fromiter(map(len, found), np.int64, len(found)))
-            counts += np.bincount(np.concatenate([np.array(f, np.int64) for f in found]), many, len(counts))
+            counts += np.bincount(np.concatenate([np.empty(0, np.int64), *(np.array(f, np.int64) for f in found)]), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield record_batch(pa.schema([("piece", pa.int64()), ("c", pa.int64())]), [at, counts[at].astype(np.int64)])
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).collect()
+    rows = words.where("c > 0").select("word").mapInArrow(run, "piece long, c long").groupBy("piece").agg(F.sum("c").alias("c")).collect()
     model = _pieces(vocabulary)
     size = model.vocab_size()
     order = np.argsort(np.argsort([-model.get_score(i) for i in range(size)], kind="stable"), kind="stable")
@@ -104,16 +105,21 @@ def piece_logs(words: DataFrame, vocabulary: str, ends: int) -> tuple[dict[str,
     weights *= PRIOR / weights.sum()
     for r in rows:
         weights[r["piece"]] += r["c"]
-    total = weights.sum() + ends + 1
-    return {model.id_to_piece(i): math.log(weights[i] / total) for i in range(size) if not (model.is_control(i) or model.is_unknown(i))}, math.log((ends + 1) / total)
+    total = weights.sum() + 1
+    return {model.id_to_piece(i): math.log(weights[i] / total) for i in range(size) if not (model.is_control(i) or model.is_unknown(i))}, -math.log(total)
 
 
-def word_log(word: str, logs: dict[str, float], longest: int) -> float:
-    """Log probability of a word: forward recursion over all segmentations."""
+def word_log(word: str, logs: dict[str, float], longest: int, spelt: float = 0.0, whole: float | None = None) -> float:
+    """Log probability of a word: forward recursion over all segmentations.
+
+    ``spelt``: log weight shared by the cuts into vocabulary pieces; ``whole``: that of the arc over the whole word, if there is one.
+    """
     text = "▁" + word
     n = len(text)
     ways: list[list[float]] = [[] for _ in range(n + 1)]
-    ways[0] = [0.0]
+    ways[0] = [spelt]
+    if whole is not None:
+        ways[n].append(whole)
     for i in range(n):
         terms = ways[i]
         if len(terms) == 1:
@@ -131,14 +137,17 @@ def word_log(word: str, logs: dict[str, float], longest: int) -> float:
     return top + math.log(sum(math.exp(x - top) for x in ways[n]))
 
 
-def word_table(words: DataFrame, logs: dict[str, float]) -> DataFrame:
-    """``words`` with ``score``, the log10 of each word's marginal probability."""
+def word_table(words: DataFrame, logs: dict[str, float], total: int, distinct: int) -> DataFrame:
+    """``words`` with ``score``, the log10 of each word's marginal probability, from ``total`` training tokens, ``distinct`` of them different."""
+    every = math.log(max(total + distinct, 1))
+    spelt = math.log(distinct) - every if distinct else 0.0
     longest = max(map(len, logs))
     schema = pa.schema([*_COUNTS, ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores = [word_log(w, logs, longest) / math.log(10) for w in b.column("word").to_pylist()]
+            counted = zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True)
+            scores = [word_log(w, logs, longest, spelt, math.log(c) - every if c else None) / math.log(10) for w, c in counted]
             yield record_batch(schema, [*b.columns, scores])
 
     return words.select("word", "c", "n").mapInArrow(run, "word string, c long, n long, score double")
@@ -156,11 +165,11 @@ def score_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     total, distinct = sums["c"] + ends, sums["v"] + (1 if ends else 0)
     base = math.log10(total + distinct + 1)
-    logs, end_log = piece_logs(counted, vocabulary, ends)
-    table = run_tables.cut(word_table(counted, logs))
+    logs, end_log = piece_logs(counted, vocabulary)
+    table = run_tables.cut(word_table(counted, logs, total, distinct))
     top = table.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON).select("word", "c", "score").toPandas()  # COMMON rows at most
     common = dict(zip(top["word"], zip(top["c"].tolist(), top["score"].tolist())))
-    end_score = end_log / math.log(10)
+    end_score = math.log10((ends + distinct * math.exp(end_log)) / (total + distinct)) if distinct else end_log / math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33

@@ -1,6 +1,7 @@
 """Rules, licences, language model, tokens and packing against brute force."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -82,6 +83,21 @@ def test_lattice_sums_all_segmentations():
         return 1.0 if not t else sum(math.exp(p) * ways(t[len(s) :]) for s, p in logs.items() if t.startswith(s))
 
     assert word_log("abab", logs, 3) == pytest.approx(math.log(ways("▁abab")))
+    assert word_log("abab", logs, 3, math.log(0.25), math.log(0.125)) == pytest.approx(math.log(0.125 + 0.25 * ways("▁abab")))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_text_is_likelier_than_by_word_counts(spark):
+    """Against word counts that are a distribution too: an unknown word is spelt, its bytes and an end equally likely."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in score_documents(docs, default_vocabulary()).where("held_out").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    known = {w for r in rows if r.doc_id not in got for w in words(r.text)}
+    spelt = sum(len(w) + 1 for r in rows if r.doc_id in got for w in words(r.text) if w not in known) * math.log10(257)
+    n = sum(r.n_tokens for r in got.values())
+    model, base = sum(r.score for r in got.values()) / n, sum(r.base_score for r in got.values()) / n
+    print("log10 a token, held out:", model, base, base - spelt / n)
+    assert model > base - spelt / n
 
 
 def test_token_files(spark):
