@@ -63,6 +63,16 @@ def test_license_places(spark):
     assert [(r.doc_id, r.labels) for r in scan(extra).orderBy("doc_id").collect()] == [(1, "isc"), (2, "")]
 
 
+def test_two_licenses_in_one_file(spark):
+    """The rare words of one licence do not push out another's."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    cc, lgpl = "Licensed under CC BY-NC 4.0.", "under the terms of the GNU Lesser General Public License"
+    filler = " river stone market" * 200
+    rows = [(1, f"{bsd}{filler} {cc}"), (2, f"{lgpl}{filler} {bsd} {cc}"), (3, cc), *((k, f"licensed under cc by the {k}") for k in range(10, 30))]
+    got = {r.doc_id: r.labels for r in scan(documents(spark, rows)).collect()}
+    assert (got[1], got[2], got[3]) == ("bsd,cc-by-nc", "bsd,cc-by-nc,gpl,lgpl", "cc-by-nc")
+
+
 def test_language_model(spark):
     got = {r.doc_id: r for r in score_documents(documents(spark), default_vocabulary()).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in ROWS}
