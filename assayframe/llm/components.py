@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayframe.session import cut
+from assayframe.session import Run, cut
 
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
@@ -24,16 +24,18 @@ def _stars(links: DataFrame, both: bool) -> DataFrame:
     return moved.where(F.col("u") > F.col("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Run | None = None) -> DataFrame:
     """(id, component): the smallest id reachable, for each id in a link.
 
     ``links``: two long columns ``a`` and ``b``; self links, nulls and repeats are
     ignored.  Each round pre-aggregates minima and joins them back, so a node
     with very many links is no single task's work; the rounds' tables are
-    written to the shared folder.  Ends when a round changes nothing.
+    written to the shared folder, as tables of the caller's run if it gives one.  Ends
+    when a round changes nothing.
     """
+    write = cut if tables is None else tables.cut
     pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pairs = cut(pairs.where(F.col("u") > F.col("v")).distinct())
+    pairs = write(pairs.where(F.col("u") > F.col("v")).distinct())
     mark = None
     while True:
         row = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -42,4 +44,4 @@ def components(links: DataFrame) -> DataFrame:
                 pairs.select(F.col("v").alias("id"), F.col("v").alias("component"))
             ).distinct()
         mark = (row["n"], row["h"])
-        pairs = cut(_stars(_stars(pairs, True), False))
+        pairs = write(_stars(_stars(pairs, True), False))

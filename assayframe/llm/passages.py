@@ -275,8 +275,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     A character is cut only if all its bytes are.  All rows stay, also those whose text becomes empty.
     """
-    other = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    removed = remove_repeats(docs, length, seed, other)
+    named = {c: f"__{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # their names may be ours
+    removed = remove_repeats(docs.withColumnsRenamed(named), length, seed, tuple(named.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,6 +296,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     shape = removed.drop("spans")
     out = removed.mapInArrow(run, shape.schema)
+    out = out.withColumnsRenamed({v: c for c, v in named.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

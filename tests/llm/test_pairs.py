@@ -126,3 +126,12 @@ def test_recall_at_the_threshold(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([a, b]))]
     out = lattice_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert out.where("n_links > 0").count() >= 0.9 * 3000
+
+
+def test_columns_named_like_the_operators_own(spark):
+    docs = documents(spark)
+    clash = docs.selectExpr("*", "1 as copy", "'x' as spans", "2 as n2", "3 as __twice", "'k' as `key`")
+    want = {(r.doc_id, r.text) for r in without_repeats(docs).collect()}
+    got = without_repeats(clash)
+    assert got.columns == clash.columns and {(r.doc_id, r.text) for r in got.collect()} == want
+    assert without_repeats(clash).where("copy = 1 and spans = 'x' and `key` = 'k'").count() == docs.count()
