@@ -1,7 +1,7 @@
 """DuckDB checks for the registered queries, written over the same notebook views."""
 
-from . import core, lifecycle, outcomes, retrieval, writes
+from . import change_sets, core, lifecycle, outcomes, retrieval, writes
 
 ORACLES: dict[str, str] = {}
-for module in (core, outcomes, retrieval, writes, lifecycle):
+for module in (core, outcomes, retrieval, writes, lifecycle, change_sets):
     ORACLES.update(module.QUERIES)
