@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .adapters import notebook, works
 from .functions import metrics, text, units
+from .functions.joins import lookup
 from .operators import audit, formulation, history, log_results, results, select
 from .session import cut, tune
 
@@ -644,14 +645,18 @@ def experiment_updates(t):
 
 @register
 def daily_review(t):
-    day = daily.daily_experiments(t, select.select_experiments(t, date=LOG_DATE))
+    """The review row of a day, from that day's own writes; the open suggestion drafts of its experiments stand for new ones."""
+    selected = cut(select.select_experiments(t, date=LOG_DATE))
+    day = daily.daily_experiments(t, selected)
     count = lambda df, name: df.agg(F.count("*").alias(name))
+    of_day = lambda df: lookup(df, selected.select("experiment_id").distinct(), ["experiment_id"], "left_semi")
     totals = daily.daily_summary(t, LOG_DATE).select("experiment_count", "observation_count", "result_count")
     for one in (
-        count(formulation.formulation_updates(t), "formulation_cells_to_update"),
+        count(formulation.formulation_updates(t, selected), "formulation_cells_to_update"),
         count(select.suggestion_closure(t), "suggestion_rows_to_update"),
-        count(log_results.log_measurements(t["daily_log"]), "normalized_result_rows_to_append"),
-        t["experiments"].agg(F.lit(0).alias("evidence_rows_to_append"), F.lit(0).alias("suggestion_rows_to_append")),
+        count(log_results.daily_log_results(t, selected, LOG_DATE), "normalized_result_rows_to_append"),
+        count(literature.linked_evidence({**t, "experiments": of_day(t["experiments"])}), "evidence_rows_to_append"),
+        count(of_day(t["suggestions"].where("status = 'draft'")), "suggestion_rows_to_append"),
         audit.preflight_summary(t, "review", day).agg(
             F.sum("fail_count").alias("preflight_fail_count"), F.sum("warn_count").alias("preflight_warn_count")),
     ):

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..contract import ROW_KEY, TABLES
 from ..functions.joins import lookup
-from ..functions.text import compact_token, key_values, text, words
-from ..operators import changes, daily, formulation, literature, log_results, results
+from ..functions.text import key_values, text, words
+from ..operators import change_set, changes, daily, formulation, literature, log_results, results
 from ..operators.audit import preflight_summary
 from ..operators.search import best, inverse_document_frequency, term_counts, top_k
 from ..operators.select import experiments_once, select_experiments, suggestion_closure
 from ..session import cut
 from .agent import agent_gates
-from .recommend import literature_context, recommendations, suggestion_rows
+from .document import proposed_plans, suggestions_with_plans
+from .recommend import literature_context, recommendations
 
 
 def entry_knowledge(t: dict[str, DataFrame], k: int = 1, selected: DataFrame | None = None) -> DataFrame:
@@ -87,25 +88,17 @@ def experiment_updates(
     return out
 
 
-REVIEW_LIST_LIMIT = 1000
-
-
 def daily_review(date: str, created_at: str, day: DataFrame, totals: DataFrame) -> DataFrame:
     """The review row of the day.
 
-    ``day`` is one row per selected experiment, ``totals`` one row of counts.
-    The id list is part of the row up to 1000 experiments; a larger day is
-    named by its size and a digest, and ``review_members`` holds every id.
+    ``day`` is one row per selected experiment, ``totals`` one row of counts.  The
+    reviewed experiments are named by their number and an order-independent digest of
+    their ids, in the same form for a day of any size; ``review_members`` lists them.
     """
-    ids = day.select("experiment_id")
-    few = ids.orderBy("experiment_id").limit(REVIEW_LIST_LIMIT + 1)
-    listed = few.agg(F.count("*").alias("n"), F.array_sort(F.collect_list("experiment_id")).alias("ids"))
-    whole = changes.batch_signature(ids)
-    df = totals.crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(whole))  # three one-row frames
-    fits = F.col("n") <= REVIEW_LIST_LIMIT
-    big = F.concat(F.col("row_count").cast("string"), F.lit("x"), "signature")
-    token = F.when(F.col("row_count") == 0, "all").when(fits, F.array_join(
-        F.transform("ids", lambda x: compact_token(x, 48, "")), "-")).otherwise(big)
+    whole = changes.batch_signature(day.select("experiment_id"))
+    df = totals.crossJoin(F.broadcast(whole))  # two one-row frames
+    members = F.concat(F.col("row_count").cast("string"), F.lit("x"), "signature")
+    token = F.when(F.col("row_count") == 0, "all").otherwise(members)
     c = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("bigint")
     pend = ["normalized_result_rows_to_append", "formulation_cells_to_update", "evidence_rows_to_append",
             "suggestion_rows_to_append", "suggestion_rows_to_update"]
@@ -129,7 +122,7 @@ def daily_review(date: str, created_at: str, day: DataFrame, totals: DataFrame)
     acts = F.when(F.size(acts) > 0, acts).otherwise(F.array(F.lit("No notebook write actions were generated for this daily run.")))
     return df.select(
         F.concat(F.lit(f"DRV-{date.replace('-', '')}-"), token).alias("review_id"), F.lit(created_at).alias("created_at"), F.lit(date).alias("review_date"),
-        F.when(fits, F.array_join("ids", ",")).otherwise(big).alias("selected_experiment_ids"),
+        members.alias("selected_experiment_ids"),
         *[c(x).alias(x) for x in ("experiment_count", "observation_count", "result_count", pend[0], pend[2], pend[3], "preflight_fail_count", "preflight_warn_count")],
         status.alias("status"), summary.alias("summary"), F.to_json(acts).alias("next_actions_json"))
 
@@ -176,10 +169,12 @@ def daily_run(
             "rank": F.substring("evidence_id", -3, 3).cast("int"), "score": F.lit(0.0), ROW_KEY: F.col("evidence_id"),
         }).select(*chosen.columns))
     context = literature_context(chosen, literature.tags_or_inferred())
-    rec = cut(recommendations(p, results.experiment_signals(p), context, cut(entry_knowledge(p, 1, selected)), history_limit))
+    all_signals = cut(results.experiment_signals(p))
+    rec = cut(recommendations(p, all_signals, context, cut(entry_knowledge(p, 1, selected)), history_limit))
     gates = agent_gates(selected, p, rec, chosen, confidence_floor, require_evidence, force)
     ready = gates.where("status = 'ready'").select("experiment_id")
-    drafts = suggestion_rows(lookup(rec, ready, ["experiment_id"], "left_semi"), created_at)
+    plans = lookup(proposed_plans(p, all_signals, context, history_limit), ready, ["experiment_id"], "left_semi")
+    drafts = cut(suggestions_with_plans(lookup(rec, ready, ["experiment_id"], "left_semi"), plans, created_at))
     pre = preflight_summary(p, "review", selected)
     evidence_rows = fresh if fresh is not None else chosen.where(F.lit(False))
     pending = pending_writes(log_rows, updates, evidence_rows, drafts)
@@ -195,11 +190,12 @@ def daily_run(
     ):
         totals = totals.crossJoin(F.broadcast(one))
     review = daily_review(date, created_at, day, totals)
-    return {
+    run = {
         "day": day, "append_results": log_rows, "update_formulations": updates, "evidence": chosen, "append_evidence": evidence_rows,
         "recommendations": rec, "gates": gates, "append_suggestions": drafts, "preflight": pre, "pending": pending,
         "update_suggestions": closure, "update_experiments": exp_updates, "append_reviews": review, "totals": totals,
     }
+    return {**run, "change_set": change_set.of_run(run, f"daily {created_at}")}
 
 
 def recorded_daily_run(t: dict[str, DataFrame], records: DataFrame, date: str, created_at: str, **options) -> dict[str, DataFrame]:
@@ -221,9 +217,10 @@ def recorded_daily_run(t: dict[str, DataFrame], records: DataFrame, date: str, c
     run = daily_run(p, date, created_at, ids=ids, **options)
     new_exp, exp_rest = changes.fold_updates(rows["experiments"], run["update_experiments"], ["experiment_id"])
     new_frm, frm_rest = changes.fold_updates(rows["formulations"], run["update_formulations"], ["experiment_id", "reagent_id", "target_role"])
-    return {
+    out = {
         **run, "append_reagents": new_reagents, "update_reagents": fills, "conflicts": moves.where("action = 'conflict'"),
         "append_experiments": new_exp, "append_formulations": new_frm, "append_daily_log": rows["daily_log"],
-        "append_record_results": rows["results"], "update_experiments": exp_rest, "update_formulations": frm_rest,
+        "append_results": changes.append_rows(rows["results"], run["append_results"], "results"), "update_experiments": exp_rest, "update_formulations": frm_rest,
         "warnings": changes.record_warnings({**rows, "reagents": new_reagents}),
     }
+    return {**out, "change_set": change_set.of_run(out, f"recorded {created_at}")}

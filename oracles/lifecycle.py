@@ -10,7 +10,7 @@ from assayframe.texts import (
 )
 
 from . import writes  # noqa: F401  (defines CTEs used below)
-from .base import cte, lit, query
+from .base import CTES, cte, lit, query
 from .core import EMULSION, RF, contains, fmt6, inlist, n_first, n_strict, prediction_key, quantities
 from .outcomes import kv
 from .retrieval import WORD, tf, top
@@ -63,11 +63,12 @@ cte("pr0", f"""select f.*, u.suggested_experiment_id, concat_ws(', ', '{FACTORS[
  from v_formulations f join flags g using (experiment_id) join fup u using (experiment_id) where g.emulsion and trim(f.reagent_id)<>'' and trim(f.target_role)<>''""")
 cte("pr1", f"select *, coalesce(ch_field in {inlist(_Q)}, false) as scaled from pr0")
 _clear = "concat_ws(', ', " + ", ".join(f"case when scaled and ch_field<>'{f}' and trim({f})<>'' then '{f}' end" for f in _Q) + ")"
-QUERIES["plan_rows"] = query("select experiment_id as parent_experiment_id, suggested_experiment_id as experiment_id, row_key, reagent_id, phase, target_role, "
+PLAN_ROWS = ("select experiment_id as parent_experiment_id, suggested_experiment_id as experiment_id, row_key, reagent_id, phase, target_role, "
     + ", ".join(f"case when ch_field='{f}' then ch_new when scaled then '' else {f} end as \"{f}\"" for f in _Q)
     + f", feed_order, case when ch_field='feed_duration_min' then ch_new else feed_duration_min end as feed_duration_min, concat_ws(' ', {lit(COPIED_ROW)}, 'Planned variables: '||factors||'.', "
       "case when ch_field is not null then 'Applied planned adjustments: '||ch_field||' '||ch_old||' -> '||ch_new||'.' end, reviews, "
       f"case when {_clear}<>'' then 'Cleared dependent quantity fields after adjusted basis: '||{_clear}||'.' end, case when trim(notes)<>'' then 'Parent notes: '||trim(notes) end) as notes from pr1")
+QUERIES["plan_rows"] = query(PLAN_ROWS)
 
 # -- plans --------------------------------------------------------------------
 cte("pl", """select row_key, suggestion_id, experiment_id, status, json_valid(proposed_plan_json) as has_plan, case when json_valid(proposed_plan_json) then proposed_plan_json::json end as j,
@@ -131,7 +132,7 @@ cte("ek_s", """select experiment_id, doc_id, dot/(dn*qn) as score from (select q
 cte("ek", top("(select s.*, kd.guidance from ek_s s join kd using (doc_id) where score>0)", "experiment_id", "round(score,9) desc, doc_id", 1))
 cte("lc_ids", "select experiment_id, list(evidence_id order by rank) as ids from ev_sel group by 1")
 cte("lc_n", "select experiment_id, tag, count(*) as n from (select s.experiment_id, unnest(v.tags) as tag from ev_sel s join ev_tags v using (experiment_id, evidence_id)) group by 1,2")
-cte("lc_t", "select experiment_id, list(tag) as tags, 'Linked literature tags emphasize '||string_agg(tag||' ('||n||')',', ' order by n desc, tag) filter (rk<=5)||'.' as lsum from (select *, row_number() over (partition by experiment_id order by n desc, tag) as rk from lc_n) group by 1")
+cte("lc_t", "select experiment_id, list(tag order by n desc, tag) as tags, 'Linked literature tags emphasize '||string_agg(tag||' ('||n||')',', ' order by n desc, tag) filter (rk<=5)||'.' as lsum from (select *, row_number() over (partition by experiment_id order by n desc, tag) as rk from lc_n) group by 1")
 _w = "(particle or stability)"
 cte("rc0", f"""select e.experiment_id, e.objective, f.*  exclude (experiment_id), u.suggested_experiment_id, a.missing_required, a.quantity_gaps, a.recommendations, a.summary as msum, r.summary as rsum, r.guidance as rguide, h.prior_experiment_count, h.guidance as hguide,
  coalesce(l.ids,[]) as ids, coalesce(t.tags,[]) as tags, t.lsum, k.guidance as know, case when not f.emulsion then 'generic' when conversion and not {_w} then 'conversion' when conversion then 'conversion_and_stability' when {_w} then 'stability' else 'baseline' end as focus
@@ -201,12 +202,23 @@ cte("eu1", """select *, case when lower(trim(s))='abandoned' then '' when fc>0 o
   when wf>0 then 'Review normalized Formulations quantities before relying on follow-up calculations.' when we>0 then 'Review appended Literature Evidence before relying on it.' else act end as p2,
  'Daily review 2024-01-05: '||obs||' observations; '||res||' existing Results rows; '||wr||' normalized Results pending; '||wf||' normalized Formulations pending; '||we||' evidence rows pending; '||ws||' suggestion rows pending; '||fc||' preflight failures.' as y2 from eu0""")
 QUERIES["experiment_updates"] = query("select * from (select experiment_id, 'status' as field, s2 as value from eu1 where s2<>trim(s) union all select experiment_id, 'planned_next_step', p2 from eu1 where p2<>trim(p) union all select experiment_id, 'summary', y2 from eu1 where y2<>trim(y)) where value<>''")
-cte("dr", """select list(x.experiment_id order by x.experiment_id) as ids, count(*) as n, sum(q.obs) as obs, sum(q.res) as res, sum(r.fail_count) as fc, sum(r.warn_count) as wc, (select count(*) from updates) as cells, (select count(*) from log_m) as logs,
+_day = lambda name, more="": CTES[name].replace("from log_m", "from dr_m").replace("log_cand", "dr_cand").replace("log_fresh", "dr_fresh").replace("log_walk", "dr_walk") + more
+cte("dr_m", "select * from log_m where starts_with(timestamp,'2024-01-05') and experiment_id in (select experiment_id from ctx_sel)")
+for _n in ("cand", "fresh", "walk", "results"):
+    cte(f"dr_{_n}", _day(f"log_{_n}"), recursive=_n == "walk")
+cte("dr", """select sum(('0x'||left(md5(x.experiment_id),15))::bigint)::varchar as sig, count(*) as n, sum(q.obs)::bigint as obs, sum(q.res)::bigint as res, sum(r.fail_count)::bigint as fc, sum(r.warn_count)::bigint as wc,
+ (select count(*) from updates where experiment_id in (select experiment_id from ctx_sel)) as cells, (select count(*) from dr_results) as logs, (select count(*) from ev_rows where experiment_id in (select experiment_id from ctx_sel)) as ev,
+ (select count(*) from v_suggestions where status='draft' and experiment_id in (select experiment_id from ctx_sel)) as sug,
  (select count(*) from sug_open where status='run_planned' and proposed_experiment_status='complete') as clo from ctx_sel x join pre0 q using (experiment_id) join pre_sum_review r using (experiment_id)""")
-QUERIES["daily_review"] = query("""select 'DRV-20240105-'||array_to_string(list_transform(ids, lambda x: replace(x,'-','')),'-') as review_id, '2026-06-10T08:00:00' as created_at, '2024-01-05' as review_date, array_to_string(ids,',') as selected_experiment_ids,
- n as experiment_count, obs::bigint as observation_count, res::bigint as result_count, logs as normalized_result_rows_to_append, 0::bigint as evidence_rows_to_append, 0::bigint as suggestion_rows_to_append, fc::bigint as preflight_fail_count, wc::bigint as preflight_warn_count,
- case when fc>0 then 'needs_attention' else 'ready_to_apply' end as status, n||' experiments; '||logs||' normalized Results rows; '||cells||' normalized Formulations cells; 0 evidence rows; 0 suggestion rows; '||clo||' suggestion status updates; '||fc::bigint||' preflight failures.' as summary,
- '["Apply or review normalized Daily Log measurements in Results.","Apply or review normalized Formulations quantities before relying on follow-up calculations.","Apply Agent Suggestions status updates for completed planned follow-ups."]' as next_actions_json from dr""")
+_act = [("logs", "Apply or review normalized Daily Log measurements in Results."), ("cells", "Apply or review normalized Formulations quantities before relying on follow-up calculations."),
+        ("ev", "Review appended Literature Evidence rows before relying on them."), ("sug", "Review draft Agent Suggestions and set status to accepted or rejected."),
+        ("clo", "Apply Agent Suggestions status updates for completed planned follow-ups.")]
+_said = "concat_ws(',', " + ", ".join(f"case when {k}>0 then {lit(chr(34) + v + chr(34))} end" for k, v in _act) + ")"
+QUERIES["daily_review"] = query(f"""select 'DRV-20240105-'||n||'x'||sig as review_id, '2026-06-10T08:00:00' as created_at, '2024-01-05' as review_date, n||'x'||sig as selected_experiment_ids,
+ n as experiment_count, obs as observation_count, res as result_count, logs as normalized_result_rows_to_append, ev as evidence_rows_to_append, sug as suggestion_rows_to_append, fc as preflight_fail_count, wc as preflight_warn_count,
+ case when fc>0 then 'needs_attention' when logs+cells+ev+sug+clo>0 then 'ready_to_apply' when wc>0 then 'ready_with_warnings' else 'no_action' end as status,
+ n||' experiments; '||logs||' normalized Results rows; '||cells||' normalized Formulations cells; '||ev||' evidence rows; '||sug||' suggestion rows; '||clo||' suggestion status updates; '||fc||' preflight failures.' as summary,
+ '['||case when {_said}='' then '"No notebook write actions were generated for this daily run."' else {_said} end||']' as next_actions_json from dr""")
 
 # -- sources ------------------------------------------------------------------
 QUERIES["scan_clean_rows"] = query("select row_key, case when process_stage='wait' then '' else process_stage end as process_stage, trim(issue_tags) as issue_tags, '' as experiment_id from v_daily_log where process_stage<>'wait' or trim(issue_tags)<>''")
