@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..contract import TABLES
-from ..operators.changes import align, batch_signature
-from ..operators.log_results import SAMPLE_KEY, VALUE_KEY, accept_in_order, not_recorded, result_candidates
-from ..session import cut
 from ..sources.tables import clean
+from . import store
 
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -18,37 +16,50 @@ def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return clean(raw, "daily_log")
 
 
+def timed(log: DataFrame) -> DataFrame:
+    """Rows with their event time ``ts``; null where the cell is no time."""
+    return log.withColumn("ts", F.col("timestamp").try_cast("timestamp"))
+
+
 def day_counts(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Observations per calendar day of the row time; rows later than ``delay`` are left to the batch run."""
-    timed = log.withColumn("ts", F.col("timestamp").try_cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("observations")).select(
-        F.date_format("window.start", "yyyy-MM-dd").alias("day"), "observations")
+    """Observations per calendar day of the row time, in append mode: a day appears once, when the watermark has passed it.
+
+    Rows that come later than ``delay`` are not counted; ``late_rows`` finds them.
+    """
+    days = timed(log).where(F.col("ts").isNotNull()).withWatermark("ts", delay).groupBy(F.window("ts", "1 day"))
+    return days.agg(F.count("*").alias("observations")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "observations")
+
+
+def late_rows(log: DataFrame, published: DataFrame) -> DataFrame:
+    """The side output of the day counts: (day, observations, counted) of the days whose count lacks rows.
+
+    ``log`` is the whole log as a table, ``published`` the days that the stream has written; days it has not written
+    yet are left out, so what is returned is what the batch run has to add.  Rows without a time belong to no day.
+    """
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    whole = timed(log).where(F.col("ts").isNotNull()).groupBy(day).agg(F.count("*").alias("observations"))
+    counted = published.select("day", F.col("observations").alias("counted"))
+    return whole.join(counted, "day").where("observations > counted")
 
 
-def watch_results(log: DataFrame, results_path: str, signature_path: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
-    """Append the result rows of every micro-batch; what is already stored, or an identical batch, is left out.
+def watch_results(log: DataFrame, path: str, checkpoint: str, continuous: str | None = None, base: DataFrame | None = None) -> StreamingQuery:
+    """Publish the result rows of every micro-batch to the store at ``path``.
 
-    Rows are compared with the stored results, so a batch that is delivered
-    twice after a failure adds nothing the second time.
+    Rows that are stored already, an identical batch and a replayed one add nothing; ``base`` are results that exist
+    elsewhere.  Two watches may share a store only one after the other.
     """
-    spark = log.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(TABLES["results"].schema()).parquet(results_path)
-        rows = accept_in_order(not_recorded(result_candidates(batch), stored), SAMPLE_KEY, VALUE_KEY, ["row_key", "field_pos"])
-        # fixed before the append, which would otherwise change what they are compared with
-        rows = cut(align(rows, "results"))
-        rows.write.mode("append").parquet(results_path)
-        sig = batch_signature(rows).withColumn("batch_id", F.lit(batch_id))
-        sig.write.mode("overwrite").parquet(f"{signature_path}/batch={batch_id}")
+        store.publish(batch, path, store.batch_name(checkpoint, batch_id), base)
 
     writer = log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=continuous) if continuous else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def watch_summary(spark: SparkSession, signature_path: str) -> DataFrame:
-    """Counters of the watch: batches, batches that appended, rows appended."""
-    s = spark.read.parquet(signature_path)
-    return s.agg(F.count("*").alias("batches"), F.count(F.when(F.col("row_count") > 0, 1)).alias("applied_batches"),
-                 F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows"))
+def watch_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Counters of a store: batches, batches that appended, identical ones, rows appended."""
+    s = store.signatures(spark, path)
+    return s.agg(
+        F.count("*").alias("batches"), F.count(F.when(F.col("appended") > 0, 1)).alias("applied_batches"),
+        F.count(F.when(F.col("status") == "identical", 1)).alias("identical_batches"), F.coalesce(F.sum("appended"), F.lit(0)).alias("rows"))

@@ -247,16 +247,3 @@ def test_snapshot_and_validation(spark, tmp_path):
     heads = s.select(F.explode("sheets").alias("title", "sheet")).select("title", F.get("sheet.values", F.lit(0)).alias("header"))
     codes = {(r.code, r.title) for r in validate_snapshot(heads).collect()}
     assert ("unknown_sheet", "Odd") in codes and ("missing_sheet", "Results") in codes and ("header_mismatch", "Agent Config") not in codes
-
-
-def test_watch_stream(spark, tables, tmp_path):
-    from assayframe.streaming.watch import log_stream, watch_results, watch_summary
-
-    tables.fill("daily_log", [{"experiment_id": "E", "timestamp": f"t{i}", "pH": str(i), "observation": "x"} for i in range(4)])
-    log, res = str(tmp_path / "log"), str(tmp_path / "results")
-    tables["daily_log"].repartition(2).write.parquet(log)
-    tables["results"].write.parquet(res)
-    for c in ("c1", "c2"):  # the second watch sees the same files again and adds nothing
-        watch_results(log_stream(spark, log, 1), res, str(tmp_path / f"sig-{c}"), str(tmp_path / c)).awaitTermination()
-    assert spark.read.parquet(res).count() == 4 == log_results.daily_log_results(tables).count()
-    assert watch_summary(spark, str(tmp_path / "sig-c2")).first()["rows"] == 0
