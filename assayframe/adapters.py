@@ -115,7 +115,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
         "issue_tags": "case when event_type='error' and event_id%3=0 then 'coagulum, particle_size_high' "
                       "when event_type='error' then 'low_conversion' else '' end",
     }),
-    "results": ("events", "event_id%4=0", {
+    "results": ("events", "", {
         ROW_KEY: _pad("event_id", 12),
         "experiment_id": LOG_EXP,
         "sample_id": LOG_EXP + "||'-L'||cast(event_id as {STR})",
@@ -139,7 +139,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
                           "when 2 then 'initiator' when 3 then 'stability,,monomer' else '' end",
         "confidence": "case when quality=1 and toxic=0 then 'high' when quality=1 then 'medium' when quality=0 then 'low' else '' end",
     }),
-    "suggestions": ("orders", "o_orderkey%2=0 or o_orderkey%3=0", {
+    "suggestions": ("orders", "", {
         ROW_KEY: _pad("o_orderkey", 12),
         "suggestion_id": "'SUG-'||" + _pad("o_orderkey", 6),
         "experiment_id": PARENT,
@@ -174,7 +174,7 @@ VIEWS: dict[str, tuple[str, str, dict[str, str]]] = {
         "guidance": "text",
         "search_terms": "case item_id%3 when 0 then 'emulsion polymerization latex stability' else 'initiator conversion' end",
     }),
-    "reviews": ("customer", "c_custkey%50=0", {
+    "reviews": ("customer", "", {
         ROW_KEY: _pad("c_custkey", 12),
         "review_id": "'DRV-20240105-EP'||" + _pad("c_custkey", 6),
         "review_date": "'2024-01-05'",
