@@ -1,7 +1,7 @@
 """DuckDB checks for the registered queries, written over the same notebook views."""
 
-from . import change_sets, core, documents, lifecycle, outcomes, retrieval, writes
+from . import change_sets, core, documents, files, lifecycle, outcomes, retrieval, writes
 
 ORACLES: dict[str, str] = {}
-for module in (core, outcomes, retrieval, writes, lifecycle, change_sets, documents):
+for module in (core, outcomes, retrieval, writes, lifecycle, change_sets, documents, files):
     ORACLES.update(module.QUERIES)
