@@ -171,6 +171,8 @@ def lattice_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABL
     least = reps.join(linked, "key", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     marked = every.join(least, ["label", "embedding"], "left")
+    named = F.col("vec_id").isNotNull()  # a row without id may hold the vector of others
+    marked = marked.withColumns({c: F.when(named, F.col(c)) for c in ("n_links", "component_id")})
     component = F.coalesce("component_id", "vec_id")
     return marked.select(
         "vec_id", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
