@@ -135,3 +135,9 @@ def test_columns_named_like_the_operators_own(spark):
     got = without_repeats(clash)
     assert got.columns == clash.columns and {(r.doc_id, r.text) for r in got.collect()} == want
     assert without_repeats(clash).where("copy = 1 and spans = 'x' and `key` = 'k'").count() == docs.count()
+
+
+def test_lattice_row_without_id_takes_no_links(spark):
+    rows = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (3, [1.0, 2.0], None)]
+    found = lattice_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in found} == {(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True), (3, 0, 3, True)}
