@@ -10,7 +10,7 @@ from tests.compare import compare, connect
 SF = "/root/testdata/sf0.001"
 QUICK = ["numeric_coercion", "unit_conversion", "formulation_quantities", "formulation_updates", "select_by_date", "daily_log_results",
          "result_analysis", "history_benchmarks", "material_audit", "preflight_summary", "tfidf_search", "work_rerank",
-         "evidence_links", "apply_audit", "reagent_reconcile", "next_followup_id", "plan_materialize"]
+         "evidence_links", "apply_audit", "reagent_reconcile", "next_followup_id", "plan_materialize", "works_read"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
