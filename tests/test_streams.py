@@ -4,7 +4,7 @@ import pytest
 
 from assayframe.operators import log_results
 from assayframe.streaming import store
-from assayframe.streaming.watch import day_counts, late_rows, log_stream, watch_results, watch_summary
+from assayframe.streaming.watch import day_counts, late_rows, log_stream, publish_rest, watch_days, watch_results, watch_summary
 
 COLUMNS = ("experiment_id", "sample_id", "measurement_type", "value", "units")
 
@@ -75,3 +75,47 @@ def test_day_counts_and_late_rows(spark, tables, tmp_path):
     assert days["2024-01-01"] == 3 and days["2024-01-02"] == 2 and days["2024-01-09"] == 1
     late = late_rows(spark.read.parquet(source), spark.read.parquet(out)).collect()
     assert [(r.day, r.observations, r.counted) for r in late] == [("2024-01-01", 5, 3)]
+
+
+def _walk(rows):
+    """(sample, value) of the rows a reader keeps who walks (day, row number) and drops repeats of either key."""
+    samples, values, out = set(), set(), []
+    for day, _, e, field, stamp, value in sorted(rows):
+        sample, worth = (e, stamp, field), (e, field, value)
+        if sample not in samples and worth not in values:
+            samples.add(sample), values.add(worth), out.append((e, value))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("arrival", ["in order", "backwards", "interleaved"])
+def test_days_in_any_order_of_arrival(spark, tables, tmp_path, arrival):
+    """Chains of both keys over days and repeats within them: the store is that of the walk, and so of the batch run."""
+    cells = [  # (day, hour, pH): repeats of a time, of a value, and of values whose row was dropped itself
+        (1, 8, "5"), (1, 8, "6"), (1, 9, "6"), (1, 9, "5"), (1, 8, "5"), (2, 8, "5"), (2, 9, "7"), (2, 9, "6"), (3, 8, "7"), (3, 8, "8"),
+        (3, 9, "8"), (3, 10, "9"), (4, 8, "9"), (4, 8, "10"), (4, 9, "10"), (5, 7, "11"),
+    ]
+    rows = [{"experiment_id": "E", "timestamp": f"2024-01-{d:02d}T{h:02d}:00:00", "pH": v} for d, h, v in cells]
+    rows += [{"experiment_id": "F", "timestamp": "2024-01-02T08:00:00", "pH": "5"}, {"experiment_id": "E", "timestamp": "no time", "pH": "12"}]
+    log = tables.fill("daily_log", rows)["daily_log"]
+    whole = _rows(log_results.daily_log_results(tables))
+    n = len(rows)
+    order = {"in order": list(range(n)), "backwards": list(range(n))[::-1], "interleaved": sorted(range(n), key=lambda i: (i % 3, -i))}[arrival]
+    source, path = str(tmp_path / "log"), str(tmp_path / "store")
+    keys = [f"{i:06d}" for i in order]
+    run = lambda: watch_days(log_stream(spark, source, 1), path, str(tmp_path / "c"), "10 days").awaitTermination()
+    for k in range(0, n, 6):  # every file is a micro-batch
+        log.where(log.row_key.isin(keys[k:k + 6])).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert store.stored(spark, path).count() == 0  # the watermark has passed no day yet
+    tables.fill("daily_log", [{"experiment_id": "", "timestamp": "2024-03-01T00:00:00"}])["daily_log"].coalesce(1).write.mode("append").parquet(source)
+    run()
+    got = _rows(store.stored(spark, path))
+    assert got == [r for r in whole if r[3] != "12"]  # a row without a time belongs to no day
+    assert sorted((r[0], r[3]) for r in got) == _walk(
+        (r["timestamp"][:10], i, r["experiment_id"], "pH", r["timestamp"], r["pH"]) for i, r in enumerate(rows) if r["timestamp"] != "no time")
+    late = tables.fill("daily_log", [{"experiment_id": "E", "timestamp": "2024-01-02T12:00:00", "pH": "13"}])["daily_log"]
+    late.coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert _rows(store.stored(spark, path)) == got  # later than the watermark
+    assert publish_rest(log.unionByName(late), path, "rest") == "applied"
+    assert sorted(r[3] for r in _rows(store.stored(spark, path))) == sorted([*[r[3] for r in got], "12", "13"])
