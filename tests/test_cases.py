@@ -247,3 +247,14 @@ def test_snapshot_and_validation(spark, tmp_path):
     heads = s.select(F.explode("sheets").alias("title", "sheet")).select("title", F.get("sheet.values", F.lit(0)).alias("header"))
     codes = {(r.code, r.title) for r in validate_snapshot(heads).collect()}
     assert ("unknown_sheet", "Odd") in codes and ("missing_sheet", "Results") in codes and ("header_mismatch", "Agent Config") not in codes
+
+
+def test_a_table_that_compresses_well_is_not_broadcast(spark):
+    """Equal rows of a written table take next to nothing in its file and a lot in the driver."""
+    from assayframe.session import cut
+
+    n = 400_000
+    rows = cut(spark.range(0, n, 1, 4).select(F.col("id").alias("k"), F.repeat(F.lit("latex "), 20).alias("pad")).repartition(4))
+    out = spark.range(0, n, 2, 4).withColumnRenamed("id", "k").join(rows, "k").groupBy().agg(F.count("*").alias("n"), F.max("pad").alias("pad"))
+    assert out.collect()[0].n == n // 2
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
