@@ -258,3 +258,40 @@ def test_a_table_that_compresses_well_is_not_broadcast(spark):
     out = spark.range(0, n, 2, 4).withColumnRenamed("id", "k").join(rows, "k").groupBy().agg(F.count("*").alias("n"), F.max("pad").alias("pad"))
     assert out.collect()[0].n == n // 2
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_a_shuffle_stay_small(spark):
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16MB"
+
+
+def test_updates_are_computed_once(tables):
+    spark = tables["reagents"].sparkSession
+    tables.fill("reagents", [{"reagent_id": "R", "name": ""}, {"reagent_id": "R", "name": ""}, {"reagent_id": "S", "name": "s"}])
+    up = spark.range(5).select(F.lit("R").alias("reagent_id"), F.lit("name").alias("field"), F.col("id").cast("string").alias("value"), F.col("id").alias("seq"))
+    got = changes.apply_updates(tables["reagents"], up, ["reagent_id"])
+    assert [r.name for r in got.orderBy("row_key").collect()] == ["4", "", "s"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 5") == 1
+
+
+def test_query_terms_against_a_walk(tables):
+    """Short and long pieces, repeated places, priority terms behind the piece that fills a query."""
+    import random
+    import re
+
+    from assayframe.rules import QUERY_LENGTH, QUERY_PRIORITY
+
+    rng = random.Random(5)
+    pieces = [(f"E{rng.randrange(6)}", f"{rng.randrange(12):03d}", " ".join(
+        [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(3))}" for _ in range(rng.choice([3, 5, 60]))] + rng.sample(QUERY_PRIORITY, rng.randrange(3)))) for _ in range(80)]
+    pieces = list({(e, k): (e, k, x) for e, k, x in pieces}.values())
+    tables.fill("experiments", [{"experiment_id": f"E{i}", "objective": "alpha beta"} for i in range(6)])
+    frame = tables["experiments"].sparkSession.createDataFrame(pieces + pieces[:9], "experiment_id string, rank_key string, text string")
+    got = {r.experiment_id: r.text.split() for r in literature.build_queries(tables, knowledge=frame).collect()}
+    for e in got:
+        seen = ["alpha", "beta"]
+        for _, _, x in sorted(p for p in pieces if p[0] == e):
+            seen += re.findall(r"[a-z][a-z0-9\-]+", x)
+        seen = list(dict.fromkeys(w for w in seen if len(w) > 2))
+        want = [w for w in QUERY_PRIORITY if w in seen] + [w for w in seen if w not in QUERY_PRIORITY]
+        assert got[e] == want[:QUERY_LENGTH]
+    assert len(got) == 6
