@@ -154,3 +154,13 @@ def test_windows_are_the_cheapest():
         plan = best_windows(cuts, kinds, 20, fees)
         paid = sum(20 - (b - a) + fees[kinds[at.index(b) - 1]] for a, b in zip([0, *plan], plan))
         assert paid == cost[-1]
+
+
+def test_licence_words_are_counted_over_all_files(spark):
+    """Also in files that hold no key phrase's last word."""
+    from assayframe.llm.licenses import file_columns
+
+    rows = [(1, "Permission granted, permission given"), (2, "nothing here"), (3, None), (4, "released under the MIT License")]
+    got = {r.doc_id: (sorted(r.held), len(r.hits)) for r in file_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (["granted", "permission"], 0) and got[3] == ([], 0) and got[2] == ([], 0)
+    assert got[4] == (["license", "mit", "released", "the", "under"], 5)
