@@ -150,8 +150,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, tables: Run)
     return tables.cut(pairs.join(two, "b").join(one, "a").where(9 * both >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of each doc_id of ``docs``; component_id is the smallest doc_id of the group."""
+def near_copies(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id) of each doc_id of ``docs``; component_id is the smallest doc_id of the group.
+
+    ``known`` has groups found before in the same columns; they stay together and are not compared within.
+    """
     small_batches(docs.sparkSession)
     docs = texts(docs).where(F.col("doc_id").isNotNull())
     tables = Run(docs.sparkSession)
@@ -162,7 +165,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sizes = tables.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key"))
     left = tables.cut(keyed.join(sizes, "key"))
     twice = marked.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a < z").select("doc_id", "a")
-    links = tables.cut(twice.join(marked, "doc_id").select("a", F.col("sid").alias("b")).distinct())
+    links = twice.join(marked, "doc_id").select("a", F.col("sid").alias("b"))
+    if known is not None:
+        named = marked.groupBy("doc_id").agg(F.min("sid").alias("sid"))
+        least = named.select(F.col("doc_id").alias("component_id"), F.col("sid").alias("a"))
+        together = known.where(F.col("doc_id") != F.col("component_id")).join(named, "doc_id").join(least, "component_id")
+        links = links.union(together.where(F.col("a") != F.col("sid")).select("a", "sid"))
+    links = tables.cut(links.distinct())
     found, tried, centres = components(links, tables), None, 1
     while True:
         placed = left.join(found, left.sid == found.id, "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("c"))

@@ -16,6 +16,7 @@ from assayframe.llm.packing import pack
 from assayframe.llm.passages import without_repeats
 from assayframe.llm.q_corpus import site
 from assayframe.llm.quality import quality_posteriors
+from assayframe.llm.simhash import simhash_components
 from assayframe.llm.tokens import default_path
 from assayframe.session import Run, cut
 
@@ -28,8 +29,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) the smallest id stays."""
-    found = near_copies(docs)
+    """Of each group of copies the smallest id stays.
+
+    Groups are those of SimHash over pivot distance tables, joined by near copies further apart than its bits tell
+    (five-word shingles, Jaccard similarity 0.8 or more).
+    """
+    copies_found = cut(simhash_components(docs).select("doc_id", "component_id").distinct())
+    found = near_copies(docs, copies_found)
     others = cut(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     return docs.where(F.col("doc_id").isNotNull()).join(others, "doc_id", "left_anti").select(*docs.columns)
 

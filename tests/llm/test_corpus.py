@@ -108,3 +108,14 @@ def test_no_near_copies_stay(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect())
     assert kept == sorted({c for c in _copies(rows).values()})
+
+
+def test_simhash_groups_leave_with_near_copies(spark, monkeypatch):
+    """The pipeline's second stage takes the groups of SimHash, joined by near copies of any member."""
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    docs = documents(spark, [(1, a), (2, b), (3, b + " end"), (4, c), (None, a)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2, 4]
+    groups = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, 3), (4, 0, 4)], "doc_id long, fp long, component_id long")
+    monkeypatch.setattr(corpus_pipeline, "simhash_components", lambda d: groups)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 4]
