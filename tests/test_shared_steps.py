@@ -43,3 +43,13 @@ def test_reagent_cells_are_parsed_once(tables):
     assert not [c for c in formulation.formulation_quantities(t).columns if c.startswith("__")]
     # updates and totals do not make the list of what is missing
     assert "lambdafunction" not in plan(formulation.formulation_updates(t))
+
+
+def test_entry_signals(tables):
+    t = lab(tables)
+    got = results.entry_signals(t)
+    assert {(r.experiment_id, r.signal) for r in got.collect()} == {
+        ("E1", "instability"), ("E1", "broad_psd"), ("E1", "particle_size_high"),
+        ("E2", "coagulum"), ("E2", "low_conversion"), ("E2", "residual_monomer_high")}
+    # only the texts of reagents are read by lists cleaned of nulls (in a filter and in what it lets through)
+    assert plan(got).count("lambdafunction") <= 2
