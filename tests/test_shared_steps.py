@@ -53,3 +53,31 @@ def test_entry_signals(tables):
         ("E2", "coagulum"), ("E2", "low_conversion"), ("E2", "residual_monomer_high")}
     # only the texts of reagents are read by lists cleaned of nulls (in a filter and in what it lets through)
     assert plan(got).count("lambdafunction") <= 2
+
+
+@pytest.mark.parametrize("held", [0, 100_000])
+def test_entry_knowledge(tables, monkeypatch, held):
+    monkeypatch.setattr(daily_run, "QUERY_TOKENS", held)
+    t = lab(tables).fill("knowledge", [
+        {"process_type": "emulsion polymerization", "guidance": "precipitate soap"}, {"process_type": "bulk", "guidance": "latex feed feed"},
+        {"process_type": "bulk", "guidance": "latex feed feed"}])
+    asked = {e: " ".join(r.text for r in daily_run.literature.entry_texts(t).where(f"experiment_id = '{e}'").collect()) for e in ("E1", "E2")}
+    cols = daily_run.TABLES["knowledge"].columns
+    docs = {r.row_key: " ".join(f"{c} {r[c]}" for c in cols) for r in t["knowledge"].collect()}
+    want = {}
+    for e, s in asked.items():
+        best = sorted((-round(x, 9), d) for d, x in cosines(docs, s).items() if x > 0)[:2]
+        want |= {(e, i): (round(-x, 4), t["knowledge"].where(f"row_key = '{d}'").first().guidance) for i, (x, d) in enumerate(best, 1)}
+    got = {(r.experiment_id, r["rank"]): (r.score, r.summary) for r in daily_run.entry_knowledge(t, 2).collect()}
+    assert got == want
+
+
+def test_sides_of_a_recommendation_are_tables(tables, spark):
+    t = lab(tables)
+    evidence = spark.createDataFrame([("E1", 1, "L1", ["feed"])], "experiment_id string, rank int, evidence_id string, tags array<string>")
+    context = recommend.literature_context(evidence, evidence["tags"])
+    rec = recommend.recommendations(t, cut(results.experiment_signals(t)), context)
+    assert {r.experiment_id: (r.focus, r.confidence, r.linked_evidence_ids) for r in rec.collect()} == {
+        "E1": ("stability", "medium", "L1"), "E2": ("generic", "medium", "")}
+    # the first row of each experiment is all that is still worked out in this plan
+    assert plan(rec).count("Aggregate") <= 1
