@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..contract import ROW_KEY, TABLES
 from ..operators.changes import align, batch_signature
-from ..operators.log_results import SAMPLE_KEY, VALUE_KEY, accept_in_order, not_recorded, result_candidates
+from ..operators.log_results import SAMPLE_KEY, VALUE_KEY, accept_in_order, as_results, log_cells, recorded_keys
 from ..session import Run
 
 BUCKETS = 64
@@ -59,20 +59,20 @@ def publish(log: DataFrame, path: str, name: str, base: DataFrame | None = None)
 
     ``base`` are result rows that exist outside the store.
     """
-    return publish_candidates(result_candidates(log), path, name, base)
+    return publish_candidates(log_cells(log), path, name, base)
 
 
 def publish_candidates(
     candidates: DataFrame, path: str, name: str, base: DataFrame | None = None, order: tuple[str, ...] = (ROW_KEY, "field_pos")
 ) -> str:
-    """Publish result rows that no stored row and no row before them in ``order`` matches by either key."""
+    """Publish the result rows of ``log_cells`` that no stored row and no row before them in ``order`` matches by either key."""
     spark = candidates.sparkSession
     known = signatures(spark, path)
     if not known.where(F.col("batch") == name).isEmpty():
         return "replayed"
     run = Run(spark)
     rows = run.cut(candidates.withColumn("bucket", bucket(F.col("experiment_id"))))
-    own = batch_signature(rows.drop("bucket", *order))
+    own = batch_signature(as_results(rows).drop(*order))
     said = own.first()
     same = known.where((F.col("row_count") == said["row_count"]) & (F.col("signature") == said["signature"]) & (F.col("row_count") > 0))
     status = "applied" if same.isEmpty() else "identical"
@@ -82,8 +82,8 @@ def publish_candidates(
         there = stored(spark, path, touched)
         if base is not None:
             there = there.unionByName(align(base, "results").where(bucket(F.col("experiment_id")).isin(touched)))
-        fresh = accept_in_order(not_recorded(rows, there), SAMPLE_KEY, VALUE_KEY, list(order))
-        fresh = run.cut(align(fresh, "results").withColumn("bucket", bucket(F.col("experiment_id"))))
+        fresh = accept_in_order(rows, SAMPLE_KEY, VALUE_KEY, list(order), *recorded_keys(there))
+        fresh = run.cut(align(as_results(fresh), "results").withColumn("bucket", bucket(F.col("experiment_id"))))
         appended = fresh.count()
         fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/batch={name}")
     line = spark.createDataFrame([(said["row_count"], said["signature"], appended, status)], SIGNATURE)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..contract import ROW_KEY, TABLES
-from ..operators.log_results import SAMPLE_KEY, result_candidates, with_value_key
+from ..operators.log_results import SAMPLE_KEY, log_cells
 from ..sources.tables import clean
 from . import store
 
@@ -61,19 +61,17 @@ def watch_results(log: DataFrame, path: str, checkpoint: str, continuous: str |
 
 
 def first_candidates(log: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Result rows of a streamed log by the day of their time, each pair of keys once a day, in append mode.
+    """Cells of a streamed log by the day of their time, each pair of keys once a day, in append mode.
 
     The state holds one row for each (day, sample key, value key), the smallest by row key and field, and lets it go
     when the watermark has passed the day: a row whose two keys both stood earlier is dropped by any reader, whichever
     rows that reader has kept.  Micro-batches send one partial row a task and pair, so a hot experiment or a cell that is
     repeated without end does not gather in one task.  Rows later than ``delay`` and rows without a time are left out.
     """
-    rows = with_value_key(result_candidates(timed(log).where(F.col("ts").isNotNull()).withWatermark("ts", delay), ("ts",)))
-    keys = [*SAMPLE_KEY, "vk_type", "vk_value", "vk_units"]
-    at = [ROW_KEY, "field_pos"]
-    rest = [c for c in rows.columns if c not in {*keys, *at, "ts"}]
-    first = rows.groupBy(F.window("ts", "1 day"), *keys).agg(F.min(F.struct(*at, *rest)).alias("first"))
-    return first.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *SAMPLE_KEY, "first.*")
+    rows = log_cells(timed(log).where(F.col("ts").isNotNull()).withWatermark("ts", delay), ("ts",))
+    keys = [*SAMPLE_KEY, "vk_value"]
+    first = rows.groupBy(F.window("ts", "1 day"), *keys).agg(F.min(F.struct(ROW_KEY, "field_pos", "value", "condition")).alias("first"))
+    return first.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), *keys, "first.*")
 
 
 def watch_days(

@@ -69,6 +69,27 @@ def test_greedy_order_matches_a_walk(spark):
     assert sorted(r.row_key for r in got.collect()) == want
 
 
+def test_taken_keys_are_dropped_in_the_rounds(spark):
+    """Taken keys count as kept before the first row; a row behind a dropped one comes up; rows alike are kept both."""
+    rows = [("1", "a", "x"), ("2", "a", "y"), ("3", "b", "y"), ("4", "c", "z"), ("4", "c", "z"), (None, "d", "w"), ("6", None, "q")]
+    df = spark.createDataFrame(rows, "row_key string, a string, b string")
+    taken = spark.createDataFrame([("x",), ("x",), ("none",)], "b string")
+    got = log_results.accept_in_order(df, ["a"], ["b"], ["row_key"], None, taken)
+    assert sorted((r.row_key or "", r.a) for r in got.collect()) == [("", "d"), ("2", "a"), ("4", "c"), ("4", "c")]
+    none = log_results.accept_in_order(df, ["a"], ["b"], ["row_key"], spark.createDataFrame([("a",), ("d",)], "a string"), None)
+    assert sorted(r.row_key for r in none.collect()) == ["3", "4", "4"]
+
+
+def test_recorded_keys_of_log_samples(tables):
+    """Only sample ids made as the log makes them, and types and units of the log, can be in its way."""
+    tables.fill("results", [
+        {"experiment_id": " E", "sample_id": "E-DL-t1-pH ", "measurement_type": "pH", "value": " 7 ", "units": ""},
+        {"experiment_id": "E", "sample_id": "F-DL-t1-pH", "measurement_type": "PH", "value": "8", "units": "x"}])
+    samples, values = log_results.recorded_keys(tables["results"])
+    kind = [f for f, _, _ in log_results.KINDS].index("pH")
+    assert [tuple(r) for r in samples.collect()] == [("E", "t1", kind)] and [tuple(r) for r in values.collect()] == [("E", kind, "7")]
+
+
 def test_rerun_adds_nothing(tables):
     tables.fill("daily_log", [{"experiment_id": "E", "timestamp": "t1", "pH": "7", "observation": "conversion 50%"}])
     first = log_results.daily_log_results(tables)
