@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from assayframe.operators import change_set, changes
 from assayframe.session import cut
 
 
@@ -25,3 +26,17 @@ def test_shuffles_go_with_their_step(spark):
             break
         time.sleep(0.2)
     assert not left
+
+
+def test_written_steps_of_updates(tables, spark):
+    tables.fill("reagents", [{"reagent_id": "R1", "name": "a"}, {"reagent_id": "R1", "name": "b"}, {"reagent_id": "R2"}])
+    up = spark.createDataFrame([("R1", "name", "x"), ("R9", "name", "y")], "reagent_id string, field string, value string")
+    after = changes.apply_updates(tables["reagents"], up, ["reagent_id"])
+    assert "Aggregate" not in plan(after) and [r.name for r in after.orderBy("row_key").collect()] == ["x", "b", ""]
+    folded, rest = changes.fold_updates(tables["reagents"], up, ["reagent_id"])
+    assert [r.name for r in folded.orderBy("row_key").collect()] == ["x", "x", ""] and [r.value for r in rest.collect()] == ["y"]
+    log = change_set.change_set({"reagents": tables["reagents"]}, {"reagents": up.withColumn("seq", F.lit("1"))}, "r")
+    errors = change_set.audit(log, tables)
+    assert "Join" not in plan(errors)
+    assert sorted((r.code, r.key) for r in errors.collect()) == [
+        ("duplicate_append", "R1"), ("duplicate_append", "R1"), ("duplicate_append", "R2"), ("duplicate_in_batch", "R1"), ("missing_update_target", "R9")]
