@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from assayframe import catalog
 from assayframe.operators import change_set, changes
 from assayframe.session import cut
 
@@ -40,3 +41,14 @@ def test_written_steps_of_updates(tables, spark):
     assert "Join" not in plan(errors)
     assert sorted((r.code, r.key) for r in errors.collect()) == [
         ("duplicate_append", "R1"), ("duplicate_append", "R1"), ("duplicate_append", "R2"), ("duplicate_in_batch", "R1"), ("missing_update_target", "R9")]
+
+
+def test_signals_of_planned_rows_are_made_once(tables, monkeypatch):
+    tables.fill("experiments", [{"experiment_id": "E1", "process_type": "emulsion polymerization"}])
+    tables.fill("formulations", [{"experiment_id": "E1", "reagent_id": "R1", "target_role": "surfactant", "mass_g": "2"}])
+    tables.fill("daily_log", [{"experiment_id": "E1", "particle_size_nm": "400"}])
+    monkeypatch.setattr(catalog, "notebook", lambda spark, sf_dir: tables)
+    got = catalog.QUERIES["plan_rows"](tables["experiments"].sparkSession, "")
+    assert [(r.experiment_id, r.mass_g) for r in got.collect()] == [("E1-FUP-001", "2.3")]
+    # neither log rows nor results are read again
+    assert "particle_size_nm" not in plan(got)
