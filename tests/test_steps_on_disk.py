@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assayframe import catalog
 from assayframe.operators import change_set, changes
 from assayframe.session import cut
+from assayframe.sources import tables as sources
 
 
 def plan(df):
@@ -52,3 +53,12 @@ def test_signals_of_planned_rows_are_made_once(tables, monkeypatch):
     assert [(r.experiment_id, r.mass_g) for r in got.collect()] == [("E1-FUP-001", "2.3")]
     # neither log rows nor results are read again
     assert "particle_size_nm" not in plan(got)
+
+
+def test_snapshot_parts_can_be_compressed(tables, spark, tmp_path):
+    tables.fill("config", [{"key": f"k{i}", "value": "v"} for i in range(12)])
+    sources.write_snapshot(tables, f"{tmp_path}/s", 5, compression="gzip")
+    assert {f.suffix for f in (tmp_path / "s" / "parts").glob("*/part-*")} == {".gz"}
+    back = sources.tables_from_snapshot(sources.read_parts(spark, f"{tmp_path}/s"))["config"]
+    assert [r.key for r in back.orderBy("row_key").collect()] == [f"k{i}" for i in range(12)]
+    assert sources.snapshot_gaps(spark, f"{tmp_path}/s").count() == 0
