@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from assayframe import catalog
-from assayframe.operators import change_set, changes
+from assayframe.operators import change_set, changes, literature
 from assayframe.session import cut
 from assayframe.sources import tables as sources
 
@@ -30,6 +30,33 @@ def test_shuffles_go_with_their_step(spark):
     assert not left
 
 
+def test_same_links_are_weighed_once(spark, monkeypatch):
+    links = {"E1": ["L1", "L2"], "E2": ["L2", "L1"], "E3": ["L1"], "E4": ["L1", "L2"], "E5": ["L3"]}
+    links = spark.createDataFrame([(e, d) for e, ds in links.items() for d in ds], "experiment_id string, doc_id string")
+    docs = spark.createDataFrame([("L1", "latex feed", ["latex"]), ("L2", "feed water", []), ("L3", "soap", ["soap"])], "doc_id string, text string, terms array<string>")
+    pieces = spark.createDataFrame([(f"E{i}", "latex soap :latex") for i in range(1, 6)], "experiment_id string, text string")
+    assert {(r.experiment_id, r.docs, r.group) for r in literature.same_links(links).collect()} == {
+        ("E1", 2, "E1"), ("E2", 2, "E1"), ("E4", 2, "E1"), ("E3", 1, "E3"), ("E5", 1, "E5")}
+    made, plain = [], literature.group_weights
+    monkeypatch.setattr(literature, "group_weights", lambda *a: made.append(plain(*a)) or made[-1])
+    got = {(r.experiment_id, r.doc_id): (round(r.score, 9), r.shared) for r in literature.group_scores(links, docs, pieces, True).collect()}
+    assert len(got) == 8 and got["E1", "L1"] == got["E2", "L1"] == got["E4", "L1"] and got["E1", "L1"][1] == 1 and got["E5", "L3"][1] == 1
+    # a row of length for each link of a group, not of an experiment
+    assert made[0].where("token is null").count() == 4
+
+
+def test_pieces_of_asked_experiments(tables):
+    tables.fill("experiments", [{"experiment_id": f"E{i}", "objective": "latex"} for i in range(3)])
+    tables.fill("reagents", [{"reagent_id": "R1", "name": "soap"}])
+    tables.fill("formulations", [{"experiment_id": f"E{i}", "reagent_id": r} for i in range(3) for r in ("R1", "R9")])
+    keep = tables["experiments"].where("experiment_id = 'E1'").select("experiment_id")
+    got = literature.entry_pieces(tables, keep, gained=lambda c: F.upper(c)).collect()
+    assert sorted((r.experiment_id, r.section, "SOAP" in (r.gained or "")) for r in got) == [("E1", 0, False), ("E1", 3, False), ("E1", 3, True)]
+    # with a place, pieces behind it are left out
+    enough = keep.withColumn("enough", F.struct(F.lit(3).alias("section"), F.lit("000002").alias("row_key")))
+    assert [(r.section, r.row_key) for r in literature.entry_pieces(tables, enough).orderBy("section").collect()] == [(0, "000001"), (3, "000002")]
+
+
 def test_written_steps_of_updates(tables, spark):
     tables.fill("reagents", [{"reagent_id": "R1", "name": "a"}, {"reagent_id": "R1", "name": "b"}, {"reagent_id": "R2"}])
     up = spark.createDataFrame([("R1", "name", "x"), ("R9", "name", "y")], "reagent_id string, field string, value string")
