@@ -60,7 +60,7 @@ def test_pieces_of_asked_experiments(tables):
 def test_written_steps_of_updates(tables, spark):
     tables.fill("reagents", [{"reagent_id": "R1", "name": "a"}, {"reagent_id": "R1", "name": "b"}, {"reagent_id": "R2"}])
     up = spark.createDataFrame([("R1", "name", "x"), ("R9", "name", "y")], "reagent_id string, field string, value string")
-    after = changes.apply_updates(tables["reagents"], up, ["reagent_id"])
+    after = changes.apply_updates(tables["reagents"], up, ["reagent_id"], written=True)
     assert "Aggregate" not in plan(after) and [r.name for r in after.orderBy("row_key").collect()] == ["x", "b", ""]
     folded, rest = changes.fold_updates(tables["reagents"], up, ["reagent_id"])
     assert [r.name for r in folded.orderBy("row_key").collect()] == ["x", "x", ""] and [r.value for r in rest.collect()] == ["y"]
